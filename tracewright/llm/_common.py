@@ -100,3 +100,9 @@ def shingle_set(text: bytes, width: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     h = word_hashes(words)
     return np.unique(window_hashes(h, min(width, len(words))) + np.uint64(0 if len(words) >= width else len(words)))
+
+
+def partitions_for(df: DataFrame, mb: int = 32) -> int:
+    """Shuffle partitions for what is gathered from df's rows: the session's number, or more if its input is large."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(shuffle_partitions(df.sparkSession), min(400_000, size // (mb << 20)) if size < 1 << 60 else 0)
