@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import id_and_text, shuffle_partitions, tune
-from .tokens import END, WordTokenizer, default_tokenizer
+from .tokens import END, default_tokenizer, tokenizer_for
 
 MAGIC, BITS, RANK_BITS = b"DAC1", 8, 512
 #: Tokens after which a segment is closed; it never splits a document.
@@ -116,7 +116,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = E
     file = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, waiting, tokens, number, shard = WordTokenizer(file), [], 0, 0, 0
+        coder, waiting, tokens, number, shard = tokenizer_for(file), [], 0, 0, 0
 
         def close() -> pa.RecordBatch:
             nonlocal waiting, tokens, number

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import id_and_text, tune
-from .tokens import END, WordTokenizer, default_tokenizer
+from .tokens import END, default_tokenizer, tokenizer_for
 
 WINDOW = 4096
 #: Tokens of a block: its pieces are packed together in memory. A memory bound, not a limit of the input.
@@ -197,7 +197,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = WINDOW,
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, packer = WordTokenizer(path), None
+        coder, packer = tokenizer_for(path), None
         names = [x.split()[0] for x in SCHEMA.split(", ")]
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
