@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dac, decontaminate, packing, rules, substrings
+from . import dac, decontaminate, ngram_join, packing, rules, substrings
 from ._common import shared_dir
 
 
@@ -24,6 +24,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(_documents(spark, sf_dir))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similarity_classes(_documents(spark, sf_dir))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     dac.write(_documents(spark, sf_dir), path)
@@ -40,7 +44,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontamination, op3_quality_rules, op5_token_files, op6_substring_dedup, op10_packing)}
+    return {f.__name__: f for f in (op2_decontamination, op3_quality_rules, op4_ngram_jaccard_join, op5_token_files, op6_substring_dedup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
