@@ -11,11 +11,11 @@ import numpy as np
 END = 2
 TOKENIZER = "word_bpe_49k.json"
 #: Words that a worker remembers, about; beyond, it goes back to the half that it saw first.
-CACHED_WORDS = 700_000
+CACHED_WORDS = 1_500_000
 #: Punctuation that may close a word and is a piece of its own there. No apostrophe: it can open a contraction.
 CLOSING = b".,;:!?*$%&#|)]}"
-#: Lower-case ASCII letters and the letters of Latin-1: one piece, which no normal form changes in kind or number.
-_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
+#: Lower-case letters of ASCII and Latin-1: one piece, which neither lower-casing nor a normal form changes.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
 _coders: dict[str, WordTokenizer] = {}
 
 
@@ -44,8 +44,11 @@ class WordTokenizer:
     def __init__(self, path: str, cached: int = CACHED_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.inner, self.cached, self.known = Tokenizer.from_file(path), cached, {}
+        self.lean = Tokenizer(self.inner.model)  # the same merges, without what does nothing to lower-case letters
+        self.lean.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.inner.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -55,7 +58,8 @@ class WordTokenizer:
         one, apart = self.inner.encode("Thereafter,; word", add_special_tokens=False).ids, []
         for x in ("thereafter", ",;", "word"):
             apart += self.inner.encode(x, add_special_tokens=False).ids
-        return one == apart and bool(self.ends[one].sum() == 3)
+        lean = self.lean.encode("thereafter écoß", add_special_tokens=False).ids
+        return one == apart and bool(self.ends[one].sum() == 3) and lean == self.inner.encode("thereafter écoß", add_special_tokens=False).ids
 
     def _alone(self, words: list[bytes]) -> dict[bytes, bytes]:
         found = self.inner.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
@@ -64,9 +68,9 @@ class WordTokenizer:
     def _letters(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Words of letters, each one piece: encoded as one text and cut where a piece ends."""
         out: dict[bytes, bytes] = {}
-        for k in range(0, len(words), 5000):
-            some = words[k : k + 5000]
-            ids = np.array(self.inner.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+        for k in range(0, len(words), 256):
+            some = words[k : k + 256]
+            ids = np.array(self.lean.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
             cuts = 4 * (np.flatnonzero(self.ends[ids]) + 1)
             if len(cuts) != len(some):
                 out |= self._alone(some)
