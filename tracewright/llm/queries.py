@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dac, decontaminate, ngram_join, packing, rules, substrings
+from . import attention_quality, dac, decontaminate, ngram_join, noisy_or_toxicity, packing, rules, substrings
 from ._common import shared_dir
 
 
@@ -16,6 +16,15 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return attention_quality.score(docs, attention_quality.train(docs, _labels(spark, sf_dir)))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contained(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -39,12 +48,17 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return noisy_or_toxicity.score(docs, noisy_or_toxicity.train(docs, _labels(spark, sf_dir))).select("doc_id", "held_out", "score", "predicted", "n_sentences", F.size("offending").alias("n_offending"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontamination, op3_quality_rules, op4_ngram_jaccard_join, op5_token_files, op6_substring_dedup, op10_packing)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_decontamination, op3_quality_rules, op4_ngram_jaccard_join, op5_token_files, op6_substring_dedup, op7_toxicity, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
