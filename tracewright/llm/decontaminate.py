@@ -14,23 +14,18 @@ BROADCAST_ROWS = 1_000_000
 
 
 def words(text: Column) -> Column:
-    """A-Z lower-cased words between ASCII white space. Empty strings at the ends are not words."""
-    return F.filter(F.split(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    """Lower-cased words between ASCII white space; an empty text has none."""
+    trimmed = F.btrim(F.lower(text), F.lit(" \t\n\r\x0b\x0c"))
+    return F.when(trimmed != "", F.split(trimmed, "[\\x20\\x09-\\x0D]+")).otherwise(F.array().cast("array<string>"))
 
 
-def _shingles(tokens: str, width: Column | int, make) -> Column:
-    """make(i) for each start i of a shingle."""
-    last = F.size(tokens) - width + 1
-    return F.when(last > 0, F.transform(F.sequence(F.lit(0), last - 1), make)).otherwise(F.array().cast("array<bigint>"))
-
-
-def hashed(tokens: str, width: int) -> Column:
-    return _shingles(tokens, width, lambda i: F.xxhash64(*(F.col(tokens)[i + j] for j in range(width))))
-
-
-def texts(tokens: str, width: int) -> Column:
-    last = F.size(tokens) - width + 1
-    return F.when(last > 0, F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.concat_ws(" ", F.slice(tokens, i + 1, width)))).otherwise(F.array().cast("array<string>"))
+def shingles(tokenized: DataFrame, width: int, *keep: str) -> DataFrame:
+    """A row per shingle of column w: h, its hash, and w0, w1 ..., its words, with the columns named in keep. Shifted
+    copies of the array are zipped and inlined, which stays in generated code."""
+    whole = tokenized.where(F.size("w") >= width)
+    shifted = [F.slice("w", j + 1, F.size("w") - width + 1).alias(f"w{j}") for j in range(width)]
+    rows = whole.select(*keep, F.inline(F.arrays_zip(*shifted)).alias(*(f"w{j}" for j in range(width))))
+    return rows.select(*keep, F.xxhash64(*(f"w{j}" for j in range(width))).alias("h"), *(f"w{j}" for j in range(width)))
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -43,38 +38,48 @@ def find_contained(docs: DataFrame, items: DataFrame, containment: tuple[int, in
     Items are partitioned by their number of shingles n; in each partition the MinHash sketch of an item is its
     n - ceil(n * containment) + 1 smallest shingle hashes. A document that contains enough of an item has at least one
     of those, so the search over sketches loses nothing; it is one probe per shingle of a document. Documents with too
-    few shingles for an item's partition are pruned. Pairs are then verified on the shingles' words.
+    few words for any item of a sketch's hash are pruned. Pairs are then verified on the shingles' words.
 
     Items of fewer words than width are one shingle of all their words. Null or empty items and documents match
-    nothing. Rows that share a doc_id are one document with all their shingles tested row by row; each pair comes once,
-    with the best row's count. Null ids match as an id of their own. Empty tables give no rows; other columns are ignored.
+    nothing. Rows that share an id, also the null id, are one document or item with the shingles of all; each pair
+    comes once. Empty tables give no rows; other columns are ignored.
     """
     num, den = containment
-    item_rows = items.select(F.col(item_id_col).cast("long").alias("item_id"), words(F.col(item_text_col)).alias("w")).where(F.size("w") > 0)
-    item_rows = item_rows.withColumn("width", F.least(F.size("w"), F.lit(width)))
-    by_width = lambda column, make: F.coalesce(*(F.when(F.col("width") == k, make(column, k)) for k in range(1, width + 1)))
-    item_rows = item_rows.select("item_id", "width", F.array_distinct(by_width("w", texts)).alias("shingles"), F.array_sort(F.array_distinct(by_width("w", hashed))).alias("hashes"))
-    item_rows = staged(item_rows.withColumn("n", F.size("shingles")).withColumn("need", F.expr(f"int(({num} * n + {den} - 1) div {den})")), "items")
-    n_items = item_rows.count()
-    used = [r[0] for r in item_rows.select("width").distinct().collect()]  # at most width values
-    sketch = staged(item_rows.select("item_id", "width", "need", F.explode(F.slice("hashes", 1, F.greatest(F.size("hashes") - F.col("need") + 1, F.lit(1)))).alias("h")), "sketches")
+    tokenized = items.select(F.col(item_id_col).cast("long").alias("item_id"), words(F.col(item_text_col)).alias("w"))
+    tokenized = tokenized.where(F.size("w") > 0).withColumn("width", F.least(F.size("w"), F.lit(width)))
+    of_items = None
+    for k in range(1, width + 1):
+        part = shingles(tokenized.where(F.col("width") == k), k, "item_id", "width")
+        part = part.select("item_id", "width", "h", F.concat_ws(" ", *(f"w{j}" for j in range(k))).alias("shingle")).distinct()
+        of_items = part if of_items is None else of_items.unionByName(part)
+    of_items = staged(of_items, "item-shingles")
+    sized = of_items.groupBy("item_id", "width").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("h")).alias("hashes"))
+    sized = sized.withColumn("need", F.expr(f"({num} * n + {den} - 1) div {den}"))
+    sketch = staged(sized.select("item_id", "width", "n", "need", F.explode(F.slice("hashes", 1, F.greatest(F.expr("int(size(hashes) - need + 1)"), F.lit(1)))).alias("h")), "sketches")
     keys = staged(sketch.groupBy("width", "h").agg(F.min("need").alias("least")), "sketch-keys")
-    n_keys = keys.count()
+    n_keys, n_shingles = keys.count(), of_items.count()
+    used = [r[0] for r in keys.select("width").distinct().collect()]  # at most width values
+    if not used:
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_item long, n_shared long")
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body"))
-    cut = own.select("doc_id", words(F.col("body")).alias("w"))
+    cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), words(F.col(text_col)).alias("w")).withColumn("n_words", F.size("w"))
     probes = None
     for k in sorted(used):
-        hits = cut.select("doc_id", (F.size("w") - k + 1).alias("at_most"), F.explode(hashed("w", k)).alias("h"))
-        hits = hits.join(_small(keys.where(F.col("width") == k).drop("width"), n_keys), "h").where(F.col("at_most") >= F.col("least"))
+        hits = shingles(cut, k, "doc_id", "n_words").select("doc_id", "n_words", "h")
+        hits = hits.join(_small(keys.where(F.col("width") == k).drop("width"), n_keys), "h").where(F.col("n_words") - k + 1 >= F.col("least"))
         hits = hits.select("doc_id", "h", F.lit(k).alias("width")).distinct()
         probes = hits if probes is None else probes.unionByName(hits)
-    if probes is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_item long, n_shared long")
-    # few of a document's shingles are in a sketch, so what is joined with the items from here on is small
-    pairs = staged(probes.join(_small(sketch, n_keys), ["width", "h"]).select("doc_id", "item_id").distinct(), "pairs")
+    # few of a document's shingles are in a sketch, so what is joined from here on is small
+    pairs = staged(probes.join(_small(sketch, n_keys), ["width", "h"]).select("doc_id", "item_id", "width", "n", "need").distinct(), "pairs")
     n_pairs = pairs.count()
-    wanted = pairs.join(_small(item_rows.select("item_id", "width", "shingles", "n", "need"), n_items), pairs["item_id"].eqNullSafe(item_rows["item_id"])).select("doc_id", pairs["item_id"], "width", "shingles", "n", "need").withColumnRenamed("doc_id", "wanted_id")
-    both = own.join(_small(wanted, n_pairs), F.col("doc_id").eqNullSafe(F.col("wanted_id")))
-    shared = both.withColumn("w", words(F.col("body"))).withColumn("n_shared", F.size(F.array_intersect(F.coalesce(*(F.when(F.col("width") == k, texts("w", k)) for k in range(1, width + 1))), F.col("shingles"))))
-    return shared.where("n_shared >= need").groupBy("doc_id", "item_id").agg(F.max("n").cast("long").alias("n_item"), F.max("n_shared").cast("long").alias("n_shared"))
+    wanted = _small(pairs.select(F.col("doc_id").alias("wanted_id")).distinct(), n_pairs)
+    near = cut.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
+    exact = None
+    for k in sorted(used):
+        own = shingles(near, k, "doc_id").select("doc_id", "h", F.concat_ws(" ", *(f"w{j}" for j in range(k))).alias("shingle"))
+        both = own.join(_small(of_items.where(F.col("width") == k).drop("width"), n_shingles), ["h", "shingle"]).select("doc_id", "item_id", "shingle").distinct()
+        both = both.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
+        exact = both if exact is None else exact.unionByName(both)
+    named = pairs.select(F.col("doc_id").alias("d"), F.col("item_id").alias("i"), "n", "need")
+    verified = exact.join(_small(named, n_pairs), F.col("doc_id").eqNullSafe(F.col("d")) & F.col("item_id").eqNullSafe(F.col("i")))
+    return verified.where("n_shared >= need").select("doc_id", "item_id", F.col("n").cast("long").alias("n_item"), F.col("n_shared").cast("long").alias("n_shared"))
