@@ -60,9 +60,11 @@ def _groups(h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 def _blobs(parts: np.ndarray, ids: np.ndarray, h: np.ndarray, known: bool) -> Iterator[tuple]:
     """One row per part: its documents, how many hashes each has, and the hashes."""
+    if not len(parts):
+        return
     order = np.lexsort((ids, parts))
     parts, ids, h = parts[order], ids[order], h[order]
-    cuts = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]])) if len(parts) else np.empty(0, np.int64)
+    cuts = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]]))
     for i, j in zip(cuts, np.append(cuts[1:], len(parts)), strict=True):
         docs, counts = np.unique(ids[i:j], return_counts=True)
         yield int(parts[i]), known, docs.astype("<i8").tobytes(), counts.astype("<u4").tobytes(), h[i:j].tobytes()
