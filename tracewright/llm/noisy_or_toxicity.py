@@ -49,8 +49,9 @@ class NoisyOr:
     def __getstate__(self):
         return {"weights": self.weights, "bias": self.bias, "seen": {}}
 
-    def fit(self, texts: list[bytes], y: np.ndarray, steps: int = 60, rate: float = 0.15, decay: float = 2e-6) -> NoisyOr:
-        """Adam on the log likelihood of the document labels. Buckets of fewer than three documents keep weight 0."""
+    def fit(self, texts: list[bytes], y: np.ndarray, steps: int = 80, rate: float = 0.15, decay: float = 2e-4) -> NoisyOr:
+        """Adam on the log likelihood of the document labels, less decay times the sum of the weights. Weights stay at 0
+        or above: harmless words don't excuse a sentence. Buckets of fewer than three documents keep weight 0."""
         buckets: dict[bytes, list[int]] = {}
         columns, in_sentence, doc_of = [], [], []
         df = np.zeros(BUCKETS, np.int32)
@@ -82,9 +83,9 @@ class NoisyOr:
             q = np.exp(none)
             ratio = q / np.maximum(1 - q, 1e-9)
             dz = np.where(y_of == 1, -p * np.minimum(ratio[doc_of], 1e6), p) / len(texts)
-            g, gb = np.bincount(columns, dz[in_sentence], len(used)) + decay * w, dz.sum()
+            g, gb = np.bincount(columns, dz[in_sentence], len(used)) + decay, dz.sum()
             m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-            w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-6)
+            w = np.maximum(w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-6), 0)
             b = b - rate * (mb / (1 - 0.9**step)) / (np.sqrt(vb / (1 - 0.999**step)) + 1e-6)
         self.weights[used], self.bias = w, float(b)
         return self
