@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention_quality, dac, decontaminate, ngram_join, noisy_or_toxicity, packing, rules, substrings
+from . import attention_quality, context_mixing, dac, decontaminate, ngram_join, noisy_or_toxicity, packing, rules, substrings
 from ._common import shared_dir
 
 
@@ -53,12 +53,16 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return noisy_or_toxicity.score(docs, noisy_or_toxicity.train(docs, _labels(spark, sf_dir))).select("doc_id", "held_out", "score", "predicted", "n_sentences", F.size("offending").alias("n_offending"))
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score(_documents(spark, sf_dir))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_decontamination, op3_quality_rules, op4_ngram_jaccard_join, op5_token_files, op6_substring_dedup, op7_toxicity, op10_packing)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_decontamination, op3_quality_rules, op4_ngram_jaccard_join, op5_token_files, op6_substring_dedup, op7_toxicity, op9_language_model, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
