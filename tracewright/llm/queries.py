@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention_quality, context_mixing, dac, decontaminate, ngram_join, noisy_or_toxicity, packing, rules, substrings
+from . import attention_quality, context_mixing, dac, decontaminate, licenses, ngram_join, noisy_or_toxicity, packing, rules, substrings
 from ._common import shared_dir
 
 
@@ -53,6 +53,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return noisy_or_toxicity.score(docs, noisy_or_toxicity.train(docs, _labels(spark, sf_dir))).select("doc_id", "held_out", "score", "predicted", "n_sentences", F.size("offending").alias("n_offending"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    found = licenses.scan(docs, licenses.train(docs))
+    return found.select("doc_id", F.concat_ws(",", "families").alias("families"), F.size("found").alias("n_paragraphs"), F.coalesce(F.aggregate("found", F.lit(0.0), lambda m, x: F.greatest(m, x["probability"])), F.lit(0.0)).alias("probability"))
+
+
 def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_mixing.score(_documents(spark, sf_dir))
 
@@ -62,7 +68,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_decontamination, op3_quality_rules, op4_ngram_jaccard_join, op5_token_files, op6_substring_dedup, op7_toxicity, op9_language_model, op10_packing)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_decontamination, op3_quality_rules, op4_ngram_jaccard_join, op5_token_files, op6_substring_dedup, op7_toxicity, op8_license_scan, op9_language_model, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
