@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracewright.plans import relational, sequences  # noqa: F401  they register themselves
+from tracewright.plans.registry import ORACLES, QUERIES
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    """Temporal chunks of all telemetry, the minimum slice of the engine."""
+    return QUERIES["w04_temporal_chunks"](spark, sf_dir)

@@ -5,17 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def seconds(ts: Column) -> Column:
-    return F.unix_micros(ts) / 1e6
+from tracewright.functions.time import micros
 
 
 def band_join(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, width: int, by: tuple[str, str] | None = None) -> DataFrame:
     """Inner join of rows at most width seconds apart. Rows meet by buckets of that width: each right row goes to three,
     so the join is an equi-join with a residual filter and never a nested loop. by: columns that must be equal, too."""
-    bucket = lambda c: F.floor(F.unix_micros(c) / (width * 1_000_000)).cast("long")
+    bucket = lambda c: F.floor(micros(c) / (width * 1_000_000)).cast("long")
     near = right.withColumn("_slot", F.explode(F.array(*(bucket(F.col(right_ts)) + d for d in (-1, 0, 1)))))
-    on = [bucket(F.col(left_ts)) == F.col("_slot"), F.abs(F.unix_micros(left_ts) - F.unix_micros(right_ts)) <= width * 1_000_000]
+    on = [bucket(F.col(left_ts)) == F.col("_slot"), F.abs(micros(left_ts) - micros(right_ts)) <= width * 1_000_000]
     if by:
         on.append(F.col(by[0]) == F.col(by[1]))
     return left.join(near, on).drop("_slot")
@@ -50,7 +48,7 @@ def nearest(prompts: DataFrame, entries: DataFrame, width: int = 300) -> DataFra
     p = prompts.select("prompt_id", F.col("ts").alias("p_ts"), F.col("workspace_path").alias("p_ws"))
     e = entries.where("prompt_id IS NULL").select("entry_id", F.col("ts").alias("e_ts"), F.col("workspace_path").alias("e_ws"))
     near = band_join(p, e, "p_ts", "e_ts", width, ("p_ws", "e_ws"))
-    return near.groupBy("prompt_id").agg(F.min_by("entry_id", F.struct(F.abs(F.unix_micros("p_ts") - F.unix_micros("e_ts")), "entry_id")).alias("entry_id"))
+    return near.groupBy("prompt_id").agg(F.min_by("entry_id", F.struct(F.abs(micros("p_ts") - micros("e_ts")), "entry_id")).alias("entry_id"))
 
 
 def claim_once(entries: DataFrame, prompts: DataFrame, width: int = 300) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.text import canonical_symbol
+from tracewright.functions.time import micros
 
 
 def temporal_chunks(items: DataFrame, gap_seconds: int = 300, ts: str = "ts", id_col: str = "id") -> DataFrame:
@@ -16,11 +17,11 @@ def temporal_chunks(items: DataFrame, gap_seconds: int = 300, ts: str = "ts", id
     """
     by_day = items.withColumn("_day", F.to_date(ts))
     order = Window.partitionBy("_day").orderBy(ts, id_col)
-    gap = F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(order))
+    gap = micros(ts) - micros(F.lag(ts).over(order))
     marked = by_day.withColumn("_new", F.coalesce((gap > gap_seconds * 1_000_000).cast("long"), F.lit(0).cast("long")))
     days = marked.groupBy("_day").agg(F.min(ts).alias("_from"), F.max(ts).alias("_to"), F.sum("_new").alias("_n"))
     along = Window.orderBy("_day")  # one row per day
-    start = F.coalesce(((F.unix_micros("_from") - F.unix_micros(F.lag("_to").over(along))) > gap_seconds * 1_000_000).cast("long"), F.lit(1).cast("long"))
+    start = F.coalesce(((micros("_from") - micros(F.lag("_to").over(along))) > gap_seconds * 1_000_000).cast("long"), F.lit(1).cast("long"))
     days = days.withColumn("_start", start)
     days = days.select("_day", (F.sum(F.col("_start") + F.col("_n")).over(along) - F.col("_n")).alias("_base"))
     return marked.join(days, "_day").withColumn("chunk_id", F.col("_base") + F.sum("_new").over(order)).drop("_day", "_new", "_base")
@@ -34,7 +35,7 @@ def chunk_summary(chunks: DataFrame) -> DataFrame:
         F.sum("lines_added").alias("lines_added"),
         F.countDistinct("workspace_path").alias("n_workspaces"),
         F.countDistinct("file_path").alias("n_files"),
-        F.round((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 1e6).cast("long").alias("duration_s"),
+        F.round((micros(F.max("ts")) - micros(F.min("ts"))) / 1e6).cast("long").alias("duration_s"),
     )
 
 
@@ -89,7 +90,7 @@ def motif_ids(motifs: DataFrame, cap: int = 300) -> DataFrame:
 def adjacent_edges(events: DataFrame, limit_seconds: int = 300, inclusive: bool = True) -> DataFrame:
     """source, target, weight: files of edits next to each other in a workspace's time order, at most the limit apart."""
     order = Window.partitionBy("workspace_path").orderBy("ts", "event_id")
-    x = events.select("file_path", F.lead("file_path").over(order).alias("target"), (F.unix_micros(F.lead("ts").over(order)) - F.unix_micros("ts")).alias("gap"))
+    x = events.select("file_path", F.lead("file_path").over(order).alias("target"), (micros(F.lead("ts").over(order)) - micros("ts")).alias("gap"))
     near = F.col("gap") <= limit_seconds * 1_000_000 if inclusive else F.col("gap") < limit_seconds * 1_000_000
     return x.where((F.col("target") != F.col("file_path")) & near).groupBy(F.col("file_path").alias("source"), "target").agg(F.count("*").alias("weight"))
 
