@@ -16,6 +16,8 @@ MIN_WORDS = 13
 COVERS = {3: (0, 1), 7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27)}
 #: Hashes after which a map task sorts and sends what it holds: a memory bound.
 FLUSH = 3_000_000
+#: Bytes of an anchor's hash that travel: anchors only propose windows, so a clash costs work and no more.
+ANCHOR_BYTES = 6
 BLOBS = "part int, known boolean, docs binary, counts binary, hashes binary"
 
 
@@ -40,7 +42,7 @@ def candidates(h: np.ndarray, width: int, shared: np.ndarray) -> np.ndarray:
     if n <= 0 or not len(shared):
         return np.empty(0, np.int64)
     at, found = anchors(h, width)
-    hit = at[np.isin(found, shared)]
+    hit = at[np.isin(found & np.uint64(256**ANCHOR_BYTES - 1), shared)]
     edge = np.zeros(len(h) + period + 1, np.int64)
     np.add.at(edge, np.maximum(hit - period + 1, 0), 1)
     np.add.at(edge, hit + 1, -1)
@@ -58,7 +60,18 @@ def _groups(h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return h, ids, np.repeat(np.minimum.reduceat(ids, starts), runs), np.repeat(np.maximum.reduceat(ids, starts), runs)
 
 
-def _blobs(parts: np.ndarray, ids: np.ndarray, h: np.ndarray, known: bool) -> Iterator[tuple]:
+def _pack(h: np.ndarray, size: int) -> bytes:
+    """The low size bytes of each hash."""
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
+
+
+def _unpack(data: bytes, size: int) -> np.ndarray:
+    out = np.zeros((len(data) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(data, np.uint8).reshape(-1, size)
+    return out.reshape(-1).view("<u8")
+
+
+def _blobs(parts: np.ndarray, ids: np.ndarray, h: np.ndarray, known: bool, size: int) -> Iterator[tuple]:
     """One row per part: its documents, how many hashes each has, and the hashes."""
     if not len(parts):
         return
@@ -67,31 +80,35 @@ def _blobs(parts: np.ndarray, ids: np.ndarray, h: np.ndarray, known: bool) -> It
     cuts = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]]))
     for i, j in zip(cuts, np.append(cuts[1:], len(parts)), strict=True):
         docs, counts = np.unique(ids[i:j], return_counts=True)
-        yield int(parts[i]), known, docs.astype("<i8").tobytes(), counts.astype("<u4").tobytes(), h[i:j].tobytes()
+        yield int(parts[i]), known, docs.astype("<i8").tobytes(), counts.astype("<u4").tobytes(), _pack(h[i:j], size)
 
 
-def _answers(rows: DataFrame, hashes: Callable, n_parts: int, later_only: bool) -> DataFrame:
-    """doc_id, array of binary: per document the hashes that others have too (later_only: that a smaller id has).
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "known", "docs", "counts", "hashes"])
+
+
+def _answers(rows: DataFrame, hashes: Callable, n_parts: int, later_only: bool, size: int) -> DataFrame:
+    """id, hashes binary: per document the hashes, size bytes each, that others have too (later_only: that a smaller id has).
 
     rows: doc_id, text and what else hashes(text, extra) takes. Map tasks group their own hashes first: of a hash they
     ask for one document only, however many have it, and answer for the others themselves. So no reducer gets more
-    rows of a hash than there are map tasks. Hashes travel packed, 8 bytes each.
+    rows of a hash than there are map tasks. Questions and answers travel packed, a row for each pair of partitions.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, ids, n = [], [], 0
+        held, ids, n, mask = [], [], 0, np.uint64(256**size - 1)
 
         def flush() -> pa.RecordBatch:
             h, who, low, high = _groups(np.concatenate(held), np.concatenate(ids))
             ask = who == low
             known = who > low if later_only else low != high
-            out = [*_blobs(((h[ask] >> np.uint64(24)) % np.uint64(n_parts)).astype(np.int64), who[ask], h[ask], False), *_blobs(who[known] % n_parts, who[known], h[known], True)]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "known", "docs", "counts", "hashes"])
+            return _batch([*_blobs(((h[ask] >> np.uint64(24)) % np.uint64(n_parts)).astype(np.int64), who[ask], h[ask], False, size), *_blobs(who[known] % n_parts, who[known], h[known], True, size)])
 
         for b in batches:
             more = b.column(2).to_pylist() if b.num_columns > 2 else [None] * b.num_rows
             for doc, text, extra in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), more, strict=True):
-                found = np.unique(hashes(text, extra)) if doc is not None else ()
+                found = np.unique(hashes(text, extra) & mask) if doc is not None else ()
                 if len(found):
                     held.append(found)
                     ids.append(np.full(len(found), doc, np.int64))
@@ -102,37 +119,34 @@ def _answers(rows: DataFrame, hashes: Callable, n_parts: int, later_only: bool)
         if n:
             yield flush()
 
+    def opened(docs: bytes, counts: bytes, h: bytes) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(np.frombuffer(docs, "<i8"), np.frombuffer(counts, "<u4")), _unpack(h, size)
+
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, who = [], []
+        asked: list[tuple[np.ndarray, np.ndarray]] = []
+        for b in batches:
+            known = np.array(b.column(1).to_pylist(), bool)
+            if known.any():
+                yield b.filter(pa.array(known))
+            asked += [opened(*x) for x in zip(*(b.filter(pa.array(~known)).column(c).to_pylist() for c in (2, 3, 4)), strict=True)]
+        if asked:
+            h, ids, low, high = _groups(np.concatenate([x[1] for x in asked]), np.concatenate([x[0] for x in asked]))
+            on = ids > low if later_only else low != high
+            yield _batch(list(_blobs(ids[on] % n_parts, ids[on], h[on], True, size)))
 
-        def told(ids: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [opened(*x) for b in batches for x in zip(*(b.column(c).to_pylist() for c in (2, 3, 4)), strict=True)]
+        if got:
+            ids, h = np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got])
             order = np.argsort(ids, kind="stable")
             ids, h = ids[order], h[order]
             docs, starts = np.unique(ids, return_index=True)
             ends = np.append(starts[1:], len(ids))
             for k in range(0, len(docs), 4096):
-                s, e = starts[k : k + 4096], ends[k : k + 4096]
-                yield pa.RecordBatch.from_arrays([pa.array(docs[k : k + 4096]), pa.array([h[i:j].tobytes() for i, j in zip(s, e, strict=True)], pa.binary())], names=["id", "hashes"])
-
-        for b in batches:
-            for known, docs, counts, h in zip(*(b.column(c).to_pylist() for c in (1, 2, 3, 4)), strict=True):
-                ids, h = np.repeat(np.frombuffer(docs, "<i8"), np.frombuffer(counts, "<u4")), np.frombuffer(h, "<u8")
-                if known:
-                    yield from told(ids, h)
-                else:
-                    asked.append(h)
-                    who.append(ids)
-        if asked:
-            h, ids, low, high = _groups(np.concatenate(asked), np.concatenate(who))
-            on = ids > low if later_only else low != high
-            yield from told(ids[on], h[on])
-
-    blobs = rows.mapInArrow(send, BLOBS).repartition(n_parts, "part")
-    return blobs.mapInArrow(answer, "id long, hashes binary").groupBy("id").agg(F.collect_list("hashes").alias("hashes"))
-
+                yield pa.RecordBatch.from_arrays([pa.array(docs[k : k + 4096]), pa.array([_pack(h[i:j], size) for i, j in zip(starts[k : k + 4096], ends[k : k + 4096], strict=True)], pa.binary())], names=["id", "hashes"])
 
-def _set(parts: list[bytes] | None) -> np.ndarray:
-    return np.frombuffer(b"".join(parts or []), "<u8")
+    asked = rows.mapInArrow(send, BLOBS).repartition(n_parts, "part")
+    return asked.mapInArrow(answer, BLOBS).repartition(n_parts, "part").mapInArrow(assemble, "id long, hashes binary")
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -155,24 +169,24 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     def joined(answers: DataFrame) -> DataFrame:
         return dealt.join(answers.hint("shuffle_hash"), dealt["doc_id"] == answers["id"], "left")
 
-    shared = _answers(light, lambda text, _: anchors(word_hashes(text.split()), min_words)[1], n_parts, False)
+    shared = _answers(light, lambda text, _: anchors(word_hashes(text.split()), min_words)[1], n_parts, False, ANCHOR_BYTES)
 
-    def near(text: bytes, parts: list[bytes] | None) -> np.ndarray:
-        if not parts:
+    def near(text: bytes, found: bytes | None) -> np.ndarray:
+        if not found:
             return np.empty(0, np.uint64)
         h = word_hashes(text.split())
-        return window_hashes(h, min_words)[candidates(h, min_words, _set(parts))]
+        return window_hashes(h, min_words)[candidates(h, min_words, _unpack(found, ANCHOR_BYTES))]
 
-    earlier = _answers(joined(shared).select("doc_id", "text", "hashes"), near, n_parts, True)
+    earlier = _answers(joined(shared).select("doc_id", "text", "hashes"), near, n_parts, True, 8)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_words, n_removed, kept = [], [], []
-            for text, parts in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for text, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 words = text.split()
                 n_words.append(len(words))
-                if parts and len(words) >= min_words:
-                    on = np.flatnonzero(np.isin(window_hashes(word_hashes(words), min_words), _set(parts)))
+                if found and len(words) >= min_words:
+                    on = np.flatnonzero(np.isin(window_hashes(word_hashes(words), min_words), np.frombuffer(found, "<u8")))
                     edge = np.zeros(len(words) + 1, np.int64)
                     np.add.at(edge, on, 1)
                     np.add.at(edge, on + min_words, -1)
