@@ -53,23 +53,27 @@ class NoisyOr:
         """Adam on the log likelihood of the document labels, less decay times the sum of the weights. Weights stay at 0
         or above: harmless words don't excuse a sentence. Buckets of fewer than three documents keep weight 0."""
         buckets: dict[bytes, list[int]] = {}
-        columns, in_sentence, doc_of = [], [], []
+        columns, sizes, doc_of = [], [], []
         df = np.zeros(BUCKETS, np.int32)
         for d, text in enumerate(texts):
-            own = set()
+            own, n = [], 0
             for i, j in sentences(text):
                 s = set()
                 for w in text[i:j].split():
                     f = buckets.get(w)
                     if f is None:
-                        f = buckets[w] = features(w)
+                        f = features(w)
+                        if len(buckets) < CACHED_WORDS // 4:
+                            buckets[w] = f
                     s.update(f)
-                columns += s
-                in_sentence += [len(doc_of)] * len(s)
-                doc_of.append(d)
-                own |= s
-            df[list(own)] += 1
-        columns, in_sentence, doc_of = np.array(columns, np.int64), np.array(in_sentence, np.int64), np.array(doc_of, np.int64)
+                own += s
+                sizes.append(len(s))
+                n += 1
+            columns.append(np.array(own, np.int32))
+            doc_of.append(np.full(n, d, np.int32))
+            df[np.unique(columns[-1])] += 1
+        columns, doc_of = np.concatenate(columns), np.concatenate(doc_of)
+        in_sentence = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         keep = df[columns] >= 3
         columns, in_sentence = columns[keep], in_sentence[keep]
         used, columns = np.unique(columns, return_inverse=True)
