@@ -106,3 +106,16 @@ def partitions_for(df: DataFrame, mb: int = 32) -> int:
     """Shuffle partitions for what is gathered from df's rows: the session's number, or more if its input is large."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return max(shuffle_partitions(df.sparkSession), min(400_000, size // (mb << 20)) if size < 1 << 60 else 0)
+
+
+def most_frequent(counts: DataFrame, k: int, column: str = "c") -> DataFrame:
+    """Rows of the largest counts, at most k: all from a bound on, which comes from some 500 log-scaled buckets. So no
+    task and no driver holds more than k rows, and equal counts are all in or all out."""
+    size = F.floor(8 * F.log2(F.col(column))).cast("int")
+    cut, n = -1, 0
+    for r in counts.groupBy(size.alias("b")).agg(F.count("*").alias("n")).orderBy(F.desc("b")).collect():
+        n += r["n"]
+        if n > k:
+            cut = r["b"]
+            break
+    return counts.where(size > cut)

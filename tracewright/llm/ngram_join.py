@@ -10,14 +10,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import id_and_text, mixed, partitions_for, shingle_set, staged, tune
+from ._common import id_and_text, mixed, most_frequent, partitions_for, shingle_set, staged, tune
 from .components import components
-from .signature_tree import WORDS, Tree, bitmap, leaders
+from .signature_tree import Tree, bitmap, folded, leaders, may_link
 
 #: Shingles whose number of documents is kept, to put frequent ones last: it orders the work and bounds nothing else.
 FREQUENT = 1 << 19
 #: Members of a partition beyond which a frequent shingle's documents are dealt to several, all pairs of which meet.
 CELL = 20_000
+#: Members, counted once a partition, up to which partitions of one smallest node are taken together.
+UNIT = 2_000_000
 FLUSH = 3_000_000
 BROADCAST_ROWS = 1_000_000
 
@@ -150,33 +152,48 @@ def _partitions(docs: DataFrame, width: int, num: int, den: int, often: tuple[np
     return blobs.mapInArrow(gather, "sig long, ids array<long>").dropDuplicates(["sig"])
 
 
-def _candidates(groups: DataFrame, nodes: DataFrame, comps: DataFrame | None, num: int, den: int, most: int | None) -> DataFrame:
-    """a, b: node pairs of a group that may link. comps None: the few pairs of leaders(); else pairs of different
+def _clusters(groups: DataFrame) -> DataFrame:
+    """unit, node: the partitions that have the same smallest node, as one unit, so that a pair they all hold is tested
+    once. Units of too many nodes go back to single partitions."""
+    anchored = groups.select("sig", F.array_min("ids").alias("anchor"), F.explode("ids").alias("node"))
+    large = anchored.groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > UNIT).select("anchor").withColumn("split", F.lit(True))
+    named = anchored.join(large, "anchor", "left").select(F.when(F.col("split"), F.col("sig")).otherwise(F.col("anchor")).alias("unit"), "node")
+    return named.distinct()
+
+
+def _candidates(units: DataFrame, nodes: DataFrame, comps: DataFrame | None, num: int, den: int, most: int | None) -> DataFrame:
+    """a, b: node pairs of a unit that may link. comps None: the few pairs of leaders(); else pairs of different
     components, most of them per pair of components (None: all)."""
-    members = groups.select("sig", F.explode("ids").alias("node"))
+    members = units
     opening = comps is None
     if comps is not None:
         members = members.join(comps.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed_groups = members.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
-        members = members.join(mixed_groups, "sig", "left_semi")
+        split = members.groupBy("unit").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("unit")
+        members = members.join(split, "unit", "left_semi")
     else:
         members = members.withColumn("component", F.col("node"))
-    full = members.join(nodes.select("node", "n", "bits"), "node")
-    packed = full.groupBy("sig").agg(F.collect_list(F.struct("node", "n", "bits", "component")).alias("m"))
+    members = staged(members, "members")
+    few = members.count() <= BROADCAST_ROWS
+    full = nodes.select("node", "n", "bits").join(F.broadcast(members) if few else members, "node")
+    packed = full.groupBy("unit").agg(F.collect_list(F.struct("node", "n", "bits", "component")).alias("m"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
                 m = b.column(1)[k].values
                 ids, sizes, comp = (m.field(x).to_numpy(zero_copy_only=False) for x in (0, 1, 3))
-                bits = np.frombuffer(b"".join(m.field(2).to_pylist()), "<u8").reshape(-1, WORDS)
+                wide = [np.frombuffer(x, "<u8") for x in m.field(2).to_pylist()]
+                bits = np.stack([folded(x) for x in wide])
                 if opening:
-                    found = leaders(bits, sizes, num, den)
+                    found = leaders(wide, bits, sizes, num, den)
                     chunks = [tuple(np.array(x, np.int64) for x in zip(*found, strict=True))] if found else []
                 else:
                     short = np.unique(comp, return_inverse=True)[1]
                     chunks, left = Tree(bits, sizes, short).pairs(num, den), {}
                 for i, j in chunks:
+                    if not opening:
+                        fine = may_link(wide, sizes, i, j, num, den)
+                        i, j = i[fine], j[fine]
                     if not opening and most is not None:
                         pair = np.minimum(short[i], short[j]) * (short.max() + 1) + np.maximum(short[i], short[j])
                         on = []
@@ -205,7 +222,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, n
 
     texts = docs.join(F.broadcast(side) if few else side, docs["doc_id"].eqNullSafe(side["rep"]))
     sets = staged(texts.select("text", "wanted_node").mapInArrow(run, "node long, s array<long>").dropDuplicates(["node"]), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    few = pairs.count() <= BROADCAST_ROWS
+    both = sets.select(F.col("node").alias("a"), F.col("s").alias("sa")).join(F.broadcast(pairs) if few else pairs, "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(common * (num + den) >= (F.size("sa") + F.size("sb")) * num).select("a", "b")
 
@@ -228,22 +246,28 @@ def similarity_classes(docs: DataFrame, width: int = 4, threshold: tuple[int, in
     n_parts = partitions_for(docs)
     source = id_and_text(docs, id_col, text_col)
     profiles = staged(_profiles(source, width), "profiles")
-    counted = profiles.where("n = -1").select(F.explode(F.arrays_zip("shingles", "counts")).alias("x")).groupBy(F.col("x.shingles").alias("h")).agg(F.sum("x.counts").alias("c")).where("c >= 16").orderBy(F.desc("c"), "h").limit(FREQUENT).toPandas()
-    h = counted["h"].to_numpy(np.int64).view(np.uint64)
+    counted = profiles.where("n = -1").select(F.explode(F.arrays_zip("shingles", "counts")).alias("x")).groupBy(F.col("x.shingles").alias("h")).agg(F.sum("x.counts").alias("c")).where("c >= 16")
+    counted = most_frequent(staged(counted, "frequent"), FREQUENT).toArrow()
+    h = counted.column("h").to_numpy().view(np.uint64)
     order = np.argsort(h)
-    often = (h[order], counted["c"].to_numpy(np.int64)[order])
+    often = (h[order], counted.column("c").to_numpy()[order])
     rows = profiles.where("n >= 0").select("doc_id", "n", "node", "digest")
     nodes = staged(profiles.where("n > 0").groupBy("node", "digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("copies")), "nodes")
     groups = staged(_partitions(source, width, num, den, often, n_parts), "groups")
 
-    links, comps = None, None
+    units = staged(_clusters(groups), "units")
+
+    links, comps, tried = None, None, None
     for most in (None, 4, None):
-        new = staged(_candidates(groups, nodes, comps, num, den, most), "pairs")
-        if comps is not None and new.isEmpty():
-            break
+        new = _candidates(units, nodes, comps, num, den, most)
+        new = staged(new if tried is None else new.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if tried is not None and new.isEmpty():
+            continue
         edges = staged(_verified(new, source, nodes, width, num, den), "links")
         links = edges if links is None else links.unionByName(edges)
-        comps = staged(components(links), "components")
+        tried = new if tried is None else tried.unionByName(new)
+        if comps is None or not edges.isEmpty():
+            comps = staged(components(links), "components")
 
     named = nodes.select("node", "digest", "rep", "copies").join(comps, nodes["node"] == comps["id"], "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))

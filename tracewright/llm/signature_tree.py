@@ -12,11 +12,31 @@ CHUNK = 1 << 16
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    bits = np.zeros(WORDS * 64, np.uint8)
-    bits[(shingles % np.uint64(WORDS * 64)).astype(np.int64)] = 1
+    """At least four bits a shingle, 2048 or a power of two above: wide enough to tell sets of any size apart. Blocks of
+    2048 bits, OR-combined, are the bitmap of that width."""
+    width = max(WORDS * 64, 1 << int(4 * len(shingles) - 1).bit_length()) if len(shingles) else WORDS * 64
+    bits = np.zeros(width, np.uint8)
+    bits[(shingles % np.uint64(width)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def folded(wide: np.ndarray, words: int = WORDS) -> np.ndarray:
+    return np.bitwise_or.reduce(wide.reshape(-1, words), axis=0)
+
+
+def may_link(wide: list[np.ndarray], sizes: np.ndarray, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether pairs may have num/den of their union in common, by the bitmaps of the narrower width of each pair."""
+    out = np.ones(len(i), bool)
+    for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+        x, y = wide[a], wide[b]
+        words = min(len(x), len(y))
+        if words > WORDS:
+            x, y = (v if len(v) == words else folded(v, words) for v in (x, y))
+            excess = min(sizes[a] - np.bitwise_count(x).sum(dtype=np.int64), sizes[b] - np.bitwise_count(y).sum(dtype=np.int64))
+            out[k] = (num + den) * (np.bitwise_count(x & y).sum(dtype=np.int64) + excess) >= num * (sizes[a] + sizes[b])
+    return out
+
+
 class Level:
     """Nodes of one height: OR of bitmaps, smallest and largest set size, most tokens above the bits, common component or -1."""
 
@@ -73,17 +93,21 @@ class Tree:
             stack.append((depth - 1, a[on], b[on]))
 
 
-def leaders(bits: np.ndarray, sizes: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+def leaders(wide: list[np.ndarray], bits: np.ndarray, sizes: np.ndarray, num: int, den: int, most: int = 64) -> list[tuple[int, int]]:
     """A few pairs that link most of a group: the member nearest to the bitwise majority is paired with all that it may
-    link with; the same goes on among the others. As many pairs as members at most."""
+    link with; the same goes on among the others, for most leaders. As many pairs as members at most."""
     rest, out = np.arange(len(sizes)), []
     ones = np.bitwise_count(bits).sum(1).astype(np.int64)
-    while len(rest) > 1:
+    for _ in range(most):
+        if len(rest) < 2:
+            break
         own = bits[rest]
         major = np.packbits(2 * np.unpackbits(own.view(np.uint8), axis=1).sum(0, dtype=np.int64) > len(rest)).view(np.uint64)
         lead = rest[np.bitwise_count(own ^ major).sum(1, dtype=np.int64).argmin()]
         overlap = np.bitwise_count(own & bits[lead]).sum(1).astype(np.int64) + np.minimum(sizes[rest] - ones[rest], sizes[lead] - ones[lead])
-        near = (num + den) * overlap >= num * (sizes[rest] + sizes[lead])
-        out += [(int(lead), int(x)) for x in rest[near] if x != lead]
+        near = ((num + den) * overlap >= num * (sizes[rest] + sizes[lead])) & (rest != lead)
+        at = np.flatnonzero(near)
+        near[at] = may_link(wide, sizes, np.full(len(at), lead), rest[at], num, den)
+        out += [(int(lead), int(x)) for x in rest[near]]
         rest = rest[~near & (rest != lead)]
     return out
