@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 # Keywords and operators of the generic tokenizer.
@@ -30,7 +31,7 @@ def _quoted(text: str) -> str:
 
 def lines(code: Column) -> Column:
     """Trimmed lines without blanks and comments."""
-    return F.filter(F.transform(F.split(code, "\n"), F.trim), lambda x: (x != "") & ~F.startswith(x, F.lit("//")) & ~F.startswith(x, F.lit("#")))
+    return F.filter(F.transform(F.split(code, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~F.startswith(x, F.lit("//")) & ~F.startswith(x, F.lit("#")))
 
 
 def generic_tokens(code: Column) -> Column:
@@ -102,7 +103,7 @@ def model_family(name: Column) -> Column:
     return reduce(lambda c, r: F.when(F.lower(name).rlike(r[0]), F.lit(r[1])).otherwise(c), reversed(rules), F.lit("unknown"))
 
 
-@pandas_udf("array<string>")
+@pandas_udf(T.ArrayType(T.StringType()))
 def python_names(code):
     """Functions and classes of Python code, outermost first; none where it does not parse."""
     import ast
@@ -117,7 +118,7 @@ def python_names(code):
     return code.map(names)
 
 
-@pandas_udf("long")
+@pandas_udf(T.LongType())
 def operation_count(code):
     """Operators, calls and comparisons of Python code; 0 where it does not parse."""
     import ast
@@ -132,7 +133,7 @@ def operation_count(code):
     return code.map(count)
 
 
-@pandas_udf("array<struct<kind:string,line:int,text:string>>")
+@pandas_udf(T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("line", T.IntegerType()), T.StructField("text", T.StringType())])))
 def line_changes(before, after):
     """Inserted and deleted lines between two texts."""
     import difflib

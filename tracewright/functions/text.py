@@ -73,18 +73,30 @@ def canonical_symbol(kind: Column) -> Column:
     return F.when(head == "", F.lit("EV_OTHER")).otherwise(F.concat(F.lit("EV_"), F.substring(F.sha1(head), 1, 6)))
 
 
+def _lowered(text: Column, f) -> Column:
+    """f of the lower-cased text, which is made once however often f uses it."""
+    return F.element_at(F.transform(F.array(F.lower(text)), f), 1)
+
+
 def intents(text: Column) -> Column:
     """All labels of which a word occurs in the text, or INTENT_OTHER alone."""
-    low = F.lower(text)
-    found = F.array_compact(F.array(*(F.when(reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in _words(words))), F.lit(label)) for label, words in INTENT_WORDS.items())))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("INTENT_OTHER")))
+
+    def labels(low: Column) -> Column:
+        found = F.array_compact(F.array(*(F.when(reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in _words(words))), F.lit(label)) for label, words in INTENT_WORDS.items())))
+        return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("INTENT_OTHER")))
+
+    return _lowered(text, labels)
 
 
 def prompt_intent(text: Column) -> Column:
-    low = F.lower(text)
-    scores = [(reduce(lambda a, b: a + b, (F.contains(low, F.lit(w)).cast("int") for w in _words(words))), label) for label, words in PROMPT_INTENTS.items()]
-    best = F.greatest(*(s for s, _ in scores))
-    return reduce(lambda c, x: F.when((x[0] == best) & (best > 0), F.lit(x[1])).otherwise(c), reversed(scores), F.lit("general"))
+    """The label of most words present, the first of equals; general if there is none."""
+
+    def label(low: Column) -> Column:
+        scores = F.array(*(F.struct(reduce(lambda a, b: a + b, (F.contains(low, F.lit(w)).cast("int") for w in _words(words))).alias("n"), F.lit(-i).alias("order"), F.lit(name).alias("label")) for i, (name, words) in enumerate(PROMPT_INTENTS.items())))
+        best = F.array_max(scores)
+        return F.when(best["n"] > 0, best["label"]).otherwise("general")
+
+    return _lowered(text, label)
 
 
 def extension(path: Column) -> Column:
