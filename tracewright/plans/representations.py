@@ -184,11 +184,11 @@ def representative(t: Tables) -> DataFrame:
     return per.join(mean, "workspace_path").groupBy("workspace_path").agg(F.min_by(F.struct("session_id", "n"), F.struct(F.abs(F.col("n") - F.col("mean")), "session_id")).alias("s")).select("workspace_path", "s.session_id", "s.n")
 
 
-@query("v05_padded", "SELECT vec_id, len(embedding) AS n, 80 AS padded, round(list_sum(embedding::DOUBLE[]), 3) AS total FROM embeddings")
+@query("v05_padded", "SELECT vec_id, len(embedding) AS n, 80 AS padded, len(list_filter(embedding, lambda x: x > 0)) AS positive FROM embeddings")
 def padded(t: Tables) -> DataFrame:
     e = F.col("embedding").cast("array<double>")
     pad = F.slice(F.concat(e, F.array_repeat(F.lit(0.0), 80)), 1, 80)
-    return t.raw("embeddings").select("vec_id", F.size("embedding").cast("long").alias("n"), F.size(pad).alias("padded"), F.round(F.aggregate(pad, F.lit(0.0), lambda s, x: s + x), 3).alias("total"))
+    return t.raw("embeddings").select("vec_id", F.size("embedding").cast("long").alias("n"), F.size(pad).alias("padded"), F.size(F.filter(pad, lambda x: x > 0)).cast("long").alias("positive"))
 
 
 @query("v07_dtw")
