@@ -263,19 +263,16 @@ def test_language_model(docs, corpus, none):
     assert context_mixing.score(none).count() == 0
 
 
-def test_model_is_a_probability(docs):
-    """Over all continuations of a code the probabilities sum to 1: both bits of a node do, for any input."""
+def test_model_is_a_probability():
+    """Codes of a vocabulary are complete, both bits of a node sum to 1, and so do the words that can be a token."""
     voc = context_mixing.Vocabulary([b"\n", b"aa", b"bb", b"cc"], np.array([9, 5, 3, 1]), 20)
-    mixer = context_mixing.Mixer()
-    model = context_mixing.Model(voc, np.zeros((2, context_mixing.SLOTS), np.uint16), mixer)
-    first = model.score([[]])[0], *(model.score([[w]])[0] for w in (b"aa", b"bb", b"cc"))
-    heads = [10 ** first[0]]
-    for w in (b"aa", b"bb", b"cc"):
-        # P(w, end) / P(end | w) is P(w); the end's probability after w comes from the same tree
-        ids = voc.symbols([w])
-        ev = voc.events([[w]], [ids], 0, 1)
-        s0, s1, s2, gate = mixer.inputs(ev, model.tables, model.looked, False)
-        x = mixer.w[gate]
-        logit = x[:, 0] * s0 + x[:, 1] * s1 + x[:, 2] * s2
-        heads.append(float(np.exp(-np.log1p(np.exp(-np.where(ev[1] == 1, 1, -1) * logit)).sum())))
-    assert 0.5 < sum(heads) < 1  # what is left is the escape's
+    model = context_mixing.Model(voc, np.zeros((2, context_mixing.SLOTS), np.uint16), context_mixing.Mixer(), 2)
+    total = 0.0
+    for symbol in range(5):
+        ev = voc.events([np.array([symbol])], [np.array([symbol])], 0, 1)
+        total += np.exp(-model.costs(ev)[0].sum())
+    assert abs(total - 1) < 1e-9
+    letters = sum(np.exp(-model.costs(voc.spelling([bytes([c])]))[0][: voc.bytes.start[c + 1] - voc.bytes.start[c]].sum()) for c in range(256) if c != 32)
+    space = voc.spelling([b""])
+    assert abs(letters + np.exp(-model.costs(space)[0].sum()) - 1) < 1e-9
+    assert model.score([[b"aa", b"zz"]])[0] < model.score([[b"aa"]])[0] < 0

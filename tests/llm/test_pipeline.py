@@ -38,3 +38,18 @@ def test_quality_stage_keeps_by_the_classifier(spark, sf_dir):
 def test_one_query_per_operator():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+
+
+def test_sql_gives_the_same_rows(spark, sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        found = con.execute(sql)
+        columns = [d[0] for d in found.description]
+        df = queries.queries()[name](spark, sf_dir)
+        assert sorted(columns) == sorted(df.columns), name
+        want = sorted(str([row[columns.index(c)] for c in sorted(columns)]) for row in found.fetchall())
+        assert sorted(str([r[c] for c in sorted(columns)]) for r in df.collect()) == want, name

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention_quality, context_mixing, dac, decontaminate, licenses, ngram_join, noisy_or_toxicity, packing, rules, substrings
+from . import attention_quality, context_mixing, dac, decontaminate, licenses, ngram_join, noisy_or_toxicity, oracles, packing, rules, substrings
 from ._common import shared_dir
 
 
@@ -72,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_decontamination": oracles.DECONTAMINATION, "op3_quality_rules": oracles.QUALITY_RULES, "op4_ngram_jaccard_join": oracles.JACCARD, "op6_substring_dedup": oracles.SUBSTRINGS}
