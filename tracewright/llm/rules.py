@@ -15,7 +15,7 @@ from ._common import id_and_text, staged, tune, window_hashes, word_hashes
 SYMBOLS, SPACE, WINDOW = b"#*$%&|<>", b" \t\n\r\x0b\x0c", 8
 METRICS = ("word_length", "symbol_share", "dup_line_share", "repeat_share")
 #: A fence lies so many interquartile ranges beyond the quartile, and at least so much: units as in measured().
-FENCE, SLACK = 3, {"word_length": 150, "symbol_share": 300, "dup_line_share": 3000, "repeat_share": 1500}
+FENCE, SLACK = 3, {"word_length": 150, "symbol_share": 300, "dup_line_share": 5000, "repeat_share": 2500}
 #: Groups of fewer documents take the thresholds of their language, and those the overall ones.
 LEAST_DOCS = 50
 #: Groups of language and source up to which the thresholds are broadcast; beyond, they are joined by a shuffle.
