@@ -11,6 +11,16 @@ from ._common import held_out
 TRAIN_CHARS = 200_000
 
 
+def first_texts(texts: DataFrame, n: int) -> list[bytes]:
+    """At most n texts, the first by a hash of the id (and for one id by the text). texts: id, t binary.
+
+    Only ids are sorted and sent; the texts of the ids that were drawn are then read by a broadcast of n ids.
+    """
+    drawn = texts.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(n)
+    rows = texts.join(F.broadcast(drawn.withColumnRenamed("id", "drawn")), F.col("id").eqNullSafe(F.col("drawn"))).select("id", "t").collect()
+    return [bytes(r["t"]) for r in sorted(rows, key=lambda r: (r["id"] is None, r["id"] or 0, bytes(r["t"])))][:n]
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, label_col: str, limits: dict[int, int], id_col: str = "doc_id", text_col: str = "text", fold: int = 5) -> tuple[list[bytes], list[int]]:
     """Texts and labels of at most limits[label] documents of each label, the first by a hash of the id.
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import id_and_text, tune
+from .labelled import first_texts
 
 #: Notices by which each family is known, in common wordings: fixed values.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -134,8 +135,8 @@ def containment(words: list[bytes], family: str) -> float:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LicenceModel:
     """The model; paragraphs of a bounded sample of documents (PLAIN_DOCS, the first by a hash of the id, texts up to
     20,000 characters) that hold no template's pairs of words serve as plain text."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).where(F.length("t") < 20_000).orderBy(F.xxhash64("id"), "id").limit(PLAIN_DOCS).collect()
-    plain = [w for r in rows for _, w in paragraphs(bytes(r["t"]))]
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).where(F.length("t") < 20_000)
+    plain = [w for t in first_texts(texts, PLAIN_DOCS) for _, w in paragraphs(t)]
     plain = [w for w in plain if max(containment(normal(w), f) for f in TEMPLATES) < 0.3] if plain else []
     return LicenceModel().fit(plain)
 
