@@ -14,7 +14,7 @@ from .labelled import training_sample
 
 PASSAGE_WORDS, HASHED, HIDDEN, THRESHOLD = 64, 8, 16, 0.3
 #: Labelled documents to train on, at most, for each label.
-TRAIN = {0: 3000, 1: 6000}
+TRAIN = {0: 2000, 1: 4000}
 _CLASSES = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b"#*$%&<>", b"|", b"!?", b".,;:", b"@/\\_=+~^{}[]()\"'`-", bytes(range(128, 192)), bytes(range(192, 256)))
 _OF = np.full(256, len(_CLASSES), np.uint8)
 for _k, _c in enumerate(_CLASSES):
