@@ -102,10 +102,15 @@ def shingle_set(text: bytes, width: int) -> np.ndarray:
     return np.unique(window_hashes(h, min(width, len(words))) + np.uint64(0 if len(words) >= width else len(words)))
 
 
-def partitions_for(df: DataFrame, mb: int = 32) -> int:
-    """Shuffle partitions for what is gathered from df's rows: the session's number, or more if its input is large."""
+def partitions_by_size(df: DataFrame, mb: int = 32) -> int:
+    """Partitions for what is gathered from df's rows, by the size of its input."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(shuffle_partitions(df.sparkSession), min(400_000, size // (mb << 20)) if size < 1 << 60 else 0)
+    return min(400_000, size // (mb << 20)) if size < 1 << 60 else 0
+
+
+def partitions_for(df: DataFrame) -> int:
+    """The session's shuffle partitions, or more if df's input is large."""
+    return max(shuffle_partitions(df.sparkSession), partitions_by_size(df))
 
 
 def most_frequent(counts: DataFrame, k: int, column: str = "c") -> DataFrame:

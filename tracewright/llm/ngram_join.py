@@ -10,17 +10,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import id_and_text, mixed, most_frequent, partitions_for, shingle_set, staged, tune
+from ._common import id_and_text, mixed, most_frequent, partitions_by_size, shingle_set, staged, tune
 from .components import components
-from .signature_tree import Tree, bitmap, folded, leaders, may_link
+from .signature_tree import WORDS, Tree, bitmap, folded, leaders, may_link
 
 #: Shingles whose number of documents is kept, to put frequent ones last: it orders the work and bounds nothing else.
 FREQUENT = 1 << 19
+#: Tasks that gather keys, at least; more as the input grows.
+GATHER = 16
 #: Members of a partition beyond which a frequent shingle's documents are dealt to several, all pairs of which meet.
 CELL = 20_000
+#: Pairs of two components that are tried before their components are formed anew.
+MOST = 32
 #: Members, counted once a partition, up to which partitions of one smallest node are taken together.
-UNIT = 2_000_000
-FLUSH = 3_000_000
+UNIT = 500_000
+FLUSH = 2_000_000
 BROADCAST_ROWS = 1_000_000
 
 
@@ -33,33 +37,35 @@ def _profiles(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, seen = [], 0, set()
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("digest", pa.binary()), ("bits", pa.binary()), ("shingles", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("digest", pa.binary()), ("base", pa.binary()), ("wide", pa.binary()), ("shingles", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
 
         def frequent() -> pa.RecordBatch:
             h, c = np.unique(np.concatenate(held), return_counts=True)
             on = c >= 3
-            return pa.RecordBatch.from_pydict({"doc_id": [None], "n": [-1], "node": [None], "digest": [None], "bits": [None], "shingles": [h[on].view(np.int64)], "counts": [c[on]]}, schema=schema)
+            return pa.RecordBatch.from_pydict({"doc_id": [None], "n": [-1], "node": [None], "digest": [None], "base": [None], "wide": [None], "shingles": [h[on].view(np.int64)], "counts": [c[on]]}, schema=schema)
 
         for b in batches:
             rows: list[tuple] = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = shingle_set(text, width)
                 digest = xxhash.xxh3_128_digest(s.tobytes())
-                rows.append((doc, len(s), int.from_bytes(digest[:8], "little", signed=True), digest, bitmap(s)))
+                wide = bitmap(s)
+                base = folded(np.frombuffer(wide, "<u8")).tobytes()
+                rows.append((doc, len(s), int.from_bytes(digest[:8], "little", signed=True), digest, base, wide if len(wide) > len(base) else None))
                 if len(s) and digest not in seen:
                     seen.add(digest)
                     held.append(s)
                     n += len(s)
             if rows:
                 empty = pa.nulls(len(rows), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types[:5], strict=True)] + [empty, empty], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types[:6], strict=True)] + [empty, empty], schema=schema)
             if n >= FLUSH:
                 yield frequent()
                 held, n, seen = [], 0, set()
         if n:
             yield frequent()
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long, digest binary, bits binary, shingles array<long>, counts array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, node long, digest binary, base binary, wide binary, shingles array<long>, counts array<long>")
 
 
 def _partitions(docs: DataFrame, width: int, num: int, den: int, often: tuple[np.ndarray, np.ndarray], n_parts: int) -> DataFrame:
@@ -155,10 +161,13 @@ def _partitions(docs: DataFrame, width: int, num: int, den: int, often: tuple[np
 def _clusters(groups: DataFrame) -> DataFrame:
     """unit, node: the partitions that have the same smallest node, as one unit, so that a pair they all hold is tested
     once. Units of too many nodes go back to single partitions."""
-    anchored = groups.select("sig", F.array_min("ids").alias("anchor"), F.explode("ids").alias("node"))
-    large = anchored.groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > UNIT).select("anchor").withColumn("split", F.lit(True))
-    named = anchored.join(large, "anchor", "left").select(F.when(F.col("split"), F.col("sig")).otherwise(F.col("anchor")).alias("unit"), "node")
-    return named.distinct()
+    anchored = groups.select("sig", F.array_min("ids").alias("anchor"), F.size("ids").alias("k"), "ids")
+    large = staged(anchored.groupBy("anchor").agg(F.sum("k").alias("k")).where(F.col("k") > UNIT).select(F.col("anchor").alias("large")), "large")
+    n_large = large.count()
+    if n_large:
+        named = anchored.join(F.broadcast(large) if n_large <= BROADCAST_ROWS else large, F.col("anchor") == F.col("large"), "left")
+        anchored = named.withColumn("anchor", F.when(F.col("large").isNotNull(), F.col("sig")).otherwise(F.col("anchor")))
+    return anchored.select(F.col("anchor").alias("unit"), F.explode("ids").alias("node")).distinct()
 
 
 def _candidates(units: DataFrame, nodes: DataFrame, comps: DataFrame | None, num: int, den: int, most: int | None) -> DataFrame:
@@ -168,32 +177,31 @@ def _candidates(units: DataFrame, nodes: DataFrame, comps: DataFrame | None, num
     opening = comps is None
     if comps is not None:
         members = members.join(comps.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        members = staged(members, "labelled")
         split = members.groupBy("unit").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("unit")
         members = members.join(split, "unit", "left_semi")
     else:
         members = members.withColumn("component", F.col("node"))
     members = staged(members, "members")
     few = members.count() <= BROADCAST_ROWS
-    full = nodes.select("node", "n", "bits").join(F.broadcast(members) if few else members, "node")
-    packed = full.groupBy("unit").agg(F.collect_list(F.struct("node", "n", "bits", "component")).alias("m"))
+    full = nodes.select("node", "n", "base").join(F.broadcast(members) if few else members, "node")
+    packed = full.groupBy("unit").agg(F.collect_list(F.struct("node", "n", "base", "component")).alias("m"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
                 m = b.column(1)[k].values
                 ids, sizes, comp = (m.field(x).to_numpy(zero_copy_only=False) for x in (0, 1, 3))
-                wide = [np.frombuffer(x, "<u8") for x in m.field(2).to_pylist()]
-                bits = np.stack([folded(x) for x in wide])
+                bits = np.frombuffer(b"".join(m.field(2).to_pylist()), "<u8").reshape(-1, WORDS)
+                left: dict[int, int] = {}
                 if opening:
-                    found = leaders(wide, bits, sizes, num, den)
+                    found = leaders(bits, sizes, num, den)
                     chunks = [tuple(np.array(x, np.int64) for x in zip(*found, strict=True))] if found else []
                 else:
                     short = np.unique(comp, return_inverse=True)[1]
-                    chunks, left = Tree(bits, sizes, short).pairs(num, den), {}
+                    chunks = Tree(bits, sizes, short).pairs(num, den)
+                cut = False
                 for i, j in chunks:
-                    if not opening:
-                        fine = may_link(wide, sizes, i, j, num, den)
-                        i, j = i[fine], j[fine]
                     if not opening and most is not None:
                         pair = np.minimum(short[i], short[j]) * (short.max() + 1) + np.maximum(short[i], short[j])
                         on = []
@@ -201,13 +209,36 @@ def _candidates(units: DataFrame, nodes: DataFrame, comps: DataFrame | None, num
                             if left.get(p, 0) < most:
                                 left[p] = left.get(p, 0) + 1
                                 on.append(x)
+                        cut |= len(on) < len(i)
                         i, j = i[on], j[on]
                     if len(i):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], names=["a", "b"])
+                if cut:
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names=["a", "b"])
 
     return packed.mapInArrow(run, "a long, b long").distinct()
 
 
+def _refined(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs that may link by bitmaps as wide as the sets ask for, too."""
+    own = pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()
+    few = pairs.count() <= BROADCAST_ROWS
+    wide = nodes.where("wide IS NOT NULL").join(F.broadcast(own) if few else own, F.col("node") == F.col("wanted"), "left_semi").select("node", "n", "wide")
+    a, b = (wide.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}")) for x in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = {x: batch.column(x).to_pylist() for x in ("na", "wa", "nb", "wb")}
+            on = [
+                k
+                for k, (na, wa, nb, wb) in enumerate(zip(c["na"], c["wa"], c["nb"], c["wb"], strict=True))
+                if wa is None or wb is None or may_link(np.frombuffer(wa, "<u8"), na, np.frombuffer(wb, "<u8"), nb, num, den)
+            ]
+            yield batch.select(["a", "b"]).take(pa.array(on, pa.int64()))
+
+    return pairs.join(a, "a", "left").join(b, "b", "left").select("a", "b", "na", "wa", "nb", "wb").mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs of which num/den of the union are in common, by their whole sets. Sets are made from the texts anew, for
     the documents in a pair only."""
@@ -243,31 +274,35 @@ def similarity_classes(docs: DataFrame, width: int = 4, threshold: tuple[int, in
     """
     tune(docs.sparkSession)
     num, den = threshold
-    n_parts = partitions_for(docs)
+    n_parts = max(GATHER, partitions_by_size(docs))
     source = id_and_text(docs, id_col, text_col)
     profiles = staged(_profiles(source, width), "profiles")
-    counted = profiles.where("n = -1").select(F.explode(F.arrays_zip("shingles", "counts")).alias("x")).groupBy(F.col("x.shingles").alias("h")).agg(F.sum("x.counts").alias("c")).where("c >= 16")
+    counted = profiles.where("n = -1").select(F.explode(F.arrays_zip("shingles", "counts")).alias("x")).groupBy(F.col("x.shingles").alias("h")).agg(F.sum("x.counts").alias("c"))
     counted = most_frequent(staged(counted, "frequent"), FREQUENT).toArrow()
     h = counted.column("h").to_numpy().view(np.uint64)
     order = np.argsort(h)
     often = (h[order], counted.column("c").to_numpy()[order])
     rows = profiles.where("n >= 0").select("doc_id", "n", "node", "digest")
-    nodes = staged(profiles.where("n > 0").groupBy("node", "digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("copies")), "nodes")
+    nodes = staged(profiles.where("n > 0").groupBy("node", "digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("base").alias("base"), F.first("wide").alias("wide"), F.count("*").alias("copies")), "nodes")
     groups = staged(_partitions(source, width, num, den, often, n_parts), "groups")
 
     units = staged(_clusters(groups), "units")
 
     links, comps, tried = None, None, None
-    for most in (None, 4, None):
-        new = _candidates(units, nodes, comps, num, den, most)
-        new = staged(new if tried is None else new.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if tried is not None and new.isEmpty():
-            continue
-        edges = staged(_verified(new, source, nodes, width, num, den), "links")
-        links = edges if links is None else links.unionByName(edges)
+    for most in (None, MOST, None):
+        found = staged(_candidates(units, nodes, comps, num, den, most), "pairs")
+        cut = not found.where("a IS NULL").isEmpty()
+        new = found.where("a IS NOT NULL")
+        new = staged(new.join(tried, ["a", "b"], "left_anti"), "new-pairs") if tried is not None else new
         tried = new if tried is None else tried.unionByName(new)
-        if comps is None or not edges.isEmpty():
+        edges = staged(_verified(staged(_refined(new, nodes, num, den), "refined"), source, nodes, width, num, den), "links")
+        links = edges if links is None else links.unionByName(edges)
+        if comps is None:
+            comps = staged(components(links), "components")
+        elif not edges.isEmpty():
             comps = staged(components(links), "components")
+        if tried is not new and not cut:
+            break  # all pairs of components that may link have been verified
 
     named = nodes.select("node", "digest", "rep", "copies").join(comps, nodes["node"] == comps["id"], "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))

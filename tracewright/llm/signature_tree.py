@@ -8,7 +8,7 @@ import numpy as np
 WORDS = 32  # of 64 bits
 FANOUT = 8
 #: Node pairs that are tested at once: a memory bound.
-CHUNK = 1 << 16
+CHUNK = 1 << 13
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
@@ -24,17 +24,12 @@ def folded(wide: np.ndarray, words: int = WORDS) -> np.ndarray:
     return np.bitwise_or.reduce(wide.reshape(-1, words), axis=0)
 
 
-def may_link(wide: list[np.ndarray], sizes: np.ndarray, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Whether pairs may have num/den of their union in common, by the bitmaps of the narrower width of each pair."""
-    out = np.ones(len(i), bool)
-    for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-        x, y = wide[a], wide[b]
-        words = min(len(x), len(y))
-        if words > WORDS:
-            x, y = (v if len(v) == words else folded(v, words) for v in (x, y))
-            excess = min(sizes[a] - np.bitwise_count(x).sum(dtype=np.int64), sizes[b] - np.bitwise_count(y).sum(dtype=np.int64))
-            out[k] = (num + den) * (np.bitwise_count(x & y).sum(dtype=np.int64) + excess) >= num * (sizes[a] + sizes[b])
-    return out
+def may_link(x: np.ndarray, nx: int, y: np.ndarray, ny: int, num: int, den: int) -> bool:
+    """Whether sets of nx and ny shingles may have num/den of their union in common, by bitmaps of the narrower width."""
+    words = min(len(x), len(y))
+    x, y = (v if len(v) == words else folded(v, words) for v in (x, y))
+    excess = min(nx - int(np.bitwise_count(x).sum(dtype=np.int64)), ny - int(np.bitwise_count(y).sum(dtype=np.int64)))
+    return (num + den) * (int(np.bitwise_count(x & y).sum(dtype=np.int64)) + excess) >= num * (nx + ny)
 
 
 class Level:
@@ -93,7 +88,7 @@ class Tree:
             stack.append((depth - 1, a[on], b[on]))
 
 
-def leaders(wide: list[np.ndarray], bits: np.ndarray, sizes: np.ndarray, num: int, den: int, most: int = 64) -> list[tuple[int, int]]:
+def leaders(bits: np.ndarray, sizes: np.ndarray, num: int, den: int, most: int = 64) -> list[tuple[int, int]]:
     """A few pairs that link most of a group: the member nearest to the bitwise majority is paired with all that it may
     link with; the same goes on among the others, for most leaders. As many pairs as members at most."""
     rest, out = np.arange(len(sizes)), []
@@ -106,8 +101,6 @@ def leaders(wide: list[np.ndarray], bits: np.ndarray, sizes: np.ndarray, num: in
         lead = rest[np.bitwise_count(own ^ major).sum(1, dtype=np.int64).argmin()]
         overlap = np.bitwise_count(own & bits[lead]).sum(1).astype(np.int64) + np.minimum(sizes[rest] - ones[rest], sizes[lead] - ones[lead])
         near = ((num + den) * overlap >= num * (sizes[rest] + sizes[lead])) & (rest != lead)
-        at = np.flatnonzero(near)
-        near[at] = may_link(wide, sizes, np.full(len(at), lead), rest[at], num, den)
         out += [(int(lead), int(x)) for x in rest[near]]
         rest = rest[~near & (rest != lead)]
     return out
