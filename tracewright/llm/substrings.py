@@ -15,7 +15,7 @@ MIN_WORDS = 13
 #: Perfect difference covers: fixed values. Any two residues, shifted alike by less than the period, both fall in the set.
 COVERS = {3: (0, 1), 7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27)}
 #: Hashes after which a map task sorts and sends what it holds: a memory bound.
-FLUSH = 3_000_000
+FLUSH = 2_000_000
 #: Bytes of an anchor's hash that travel: anchors only propose windows, so a clash costs work and no more.
 ANCHOR_BYTES = 6
 BLOBS = "part int, known boolean, docs binary, counts binary, hashes binary"
