@@ -172,7 +172,7 @@ def _clusters(groups: DataFrame) -> DataFrame:
 
 def _candidates(units: DataFrame, nodes: DataFrame, comps: DataFrame | None, num: int, den: int, most: int | None) -> DataFrame:
     """a, b: node pairs of a unit that may link. comps None: the few pairs of leaders(); else pairs of different
-    components, most of them per pair of components (None: all)."""
+    components, most of them per pair of components (None: all). A row of a unit and a null says that it has more."""
     members = units
     opening = comps is None
     if comps is not None:
@@ -214,7 +214,7 @@ def _candidates(units: DataFrame, nodes: DataFrame, comps: DataFrame | None, num
                     if len(i):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], names=["a", "b"])
                 if cut:
-                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), pa.nulls(1, pa.int64())], names=["a", "b"])
 
     return packed.mapInArrow(run, "a long, b long").distinct()
 
@@ -291,8 +291,8 @@ def similarity_classes(docs: DataFrame, width: int = 4, threshold: tuple[int, in
     links, comps, tried = None, None, None
     for most in (None, MOST, None):
         found = staged(_candidates(units, nodes, comps, num, den, most), "pairs")
-        cut = not found.where("a IS NULL").isEmpty()
-        new = found.where("a IS NOT NULL")
+        more = found.where("b IS NULL").select(F.col("a").alias("unit")).distinct()
+        new = found.where("b IS NOT NULL")
         new = staged(new.join(tried, ["a", "b"], "left_anti"), "new-pairs") if tried is not None else new
         tried = new if tried is None else tried.unionByName(new)
         edges = staged(_verified(staged(_refined(new, nodes, num, den), "refined"), source, nodes, width, num, den), "links")
@@ -301,8 +301,10 @@ def similarity_classes(docs: DataFrame, width: int = 4, threshold: tuple[int, in
             comps = staged(components(links), "components")
         elif not edges.isEmpty():
             comps = staged(components(links), "components")
-        if tried is not new and not cut:
-            break  # all pairs of components that may link have been verified
+        if most is not None:  # of all other units every pair of components that may link has been verified
+            if more.isEmpty():
+                break
+            units = staged(units.join(more, "unit", "left_semi"), "units")
 
     named = nodes.select("node", "digest", "rep", "copies").join(comps, nodes["node"] == comps["id"], "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
