@@ -266,7 +266,7 @@ def test_language_model(docs, corpus, none):
 def test_model_is_a_probability():
     """Codes of a vocabulary are complete, both bits of a node sum to 1, and so do the words that can be a token."""
     voc = context_mixing.Vocabulary([b"\n", b"aa", b"bb", b"cc"], np.array([9, 5, 3, 1]), 20)
-    model = context_mixing.Model(voc, np.zeros((2, context_mixing.SLOTS), np.uint16), context_mixing.Mixer(), 2)
+    model = context_mixing.Model(voc, np.zeros((2, context_mixing.SLOTS), np.uint16), context_mixing.Mixer())
     total = 0.0
     for symbol in range(5):
         ev = voc.events([np.array([symbol])], [np.array([symbol])], 0, 1)
