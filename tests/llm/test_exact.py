@@ -276,3 +276,27 @@ def test_model_is_a_probability():
     space = voc.spelling([b""])
     assert abs(letters + np.exp(-model.costs(space)[0].sum()) - 1) < 1e-9
     assert model.score([[b"aa", b"zz"]])[0] < model.score([[b"aa"]])[0] < 0
+
+def test_model_grows_with_the_corpus():
+    """Slots and coded words grow with the tokens, and a context never takes another's counts for its own."""
+    small, large = context_mixing.grown(1000), context_mixing.grown(100_000_000)
+    assert small == (1 << 16, 1 << 19, 1 << 22) and large[2] >= 100_000_000 and large[0] > small[0] and large[1] >= large[0]
+    check = context_mixing.CHECK
+    keys = np.array([2 * (5 << check | 3), 2 * (5 << check | 3) + 1, 2 * (5 << check | 9) + 1, 2 * (5 << check | 3) + 1])
+    table = context_mixing.settled(keys, np.array([2, 3, 4, 1]))
+    assert context_mixing.known(table, np.array([5 << check | 3, 5 << check | 9, 6 << check | 3])).tolist() == [2 * 256 + 4, 0, 0]
+
+
+def test_tables_count_every_context(spark, tmp_path):
+    """Counts by context, summed over tasks, are those of the bits themselves."""
+    texts = [b"aa bb cc aa bb dd", b"bb cc aa", b"dd dd aa bb"]
+    df = spark.createDataFrame([(i, t, False) for i, t in enumerate(texts)], "doc_id long, text binary, held_out boolean").repartition(2)
+    counts = context_mixing.token_counts(df)
+    rows = sorted(counts.collect(), key=lambda r: (-r["c"], bytes(r["token"])))
+    voc = context_mixing.Vocabulary([bytes(r["token"]) for r in rows], np.array([r["c"] for r in rows]), sum(r["c"] for r in rows), 4)
+    tables = context_mixing.context_tables(df, counts, voc)
+    places = [voc.places(t.split()) for t in texts]
+    _, bit, _, *at, _ = voc.events([voc.symbols(x) for x in places], [voc.contexts(x) for x in places], 0, None)
+    for table, i in zip(tables, at, strict=True):
+        want = [[int(((i == x) & (bit == b)).sum()) for b in (0, 1)] for x in i]
+        assert [divmod(int(k), 256) for k in context_mixing.known(table, i)] == [tuple(x) for x in want]
