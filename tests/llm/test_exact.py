@@ -300,3 +300,19 @@ def test_tables_count_every_context(spark, tmp_path):
     for table, i in zip(tables, at, strict=True):
         want = [[int(((i == x) & (bit == b)).sum()) for b in (0, 1)] for x in i]
         assert [divmod(int(k), 256) for k in context_mixing.known(table, i)] == [tuple(x) for x in want]
+
+
+def test_licences_over_lines(docs):
+    """Notices that are wrapped, in comments or among other lines, and SPDX names."""
+    import textwrap
+
+    spark, model = docs.sparkSession, licenses.train(docs)
+    mit, gpl = licenses.TEMPLATES["mit"][0], licenses.TEMPLATES["gpl"][0]
+    lines = textwrap.wrap(mit, 78)
+    texts = [
+        "\n".join(lines), "\n".join(f" * {x}" for x in lines), "intro words\n\n# " + "\n# ".join(textwrap.wrap(gpl, 60)) + "\n#\nmore",
+        "SPDX-License-Identifier: MIT", "// SPDX-License-Identifier: GPL-2.0-only\nint main", "plain\nwords mit dem\nof no kind",
+    ]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [list(r["families"]) for r in got] == [["mit"], ["mit"], ["gpl"], ["mit"], ["gpl"], []]
+    assert [x["line"] for x in got[2]["found"] if x["confirmed"]] == [2]

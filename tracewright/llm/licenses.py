@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +31,22 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "unlicense": ("This is free and unencumbered software released into the public domain.", "Released into the public domain under the Unlicense."),
     "proprietary": ("Copyright. All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited.", "All rights reserved. No part of this publication may be reproduced without permission."),
 }
+#: SPDX names of each family: "SPDX-License-Identifier: MIT" is a template, too.
+SPDX = {
+    "apache-2.0": ("Apache-2.0",), "bsd": ("BSD-2-Clause", "BSD-3-Clause", "0BSD"), "cc-by": ("CC-BY-4.0", "CC-BY-3.0"), "cc-by-nc": ("CC-BY-NC-4.0",), "cc-by-sa": ("CC-BY-SA-4.0", "CC-BY-SA-3.0"), "cc0": ("CC0-1.0",),
+    "gpl": ("GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later"), "lgpl": ("LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later"),
+    "mit": ("MIT",), "mpl-2.0": ("MPL-2.0",), "unlicense": ("Unlicense",),
+}
+TEMPLATES = {f: (*t, *(f"SPDX-License-Identifier: {x}" for x in SPDX.get(f, ()))) for f, t in TEMPLATES.items()}
 UNKNOWN = "unknown"
 FAMILIES = (UNKNOWN, *TEMPLATES)
 BUCKETS, LONGEST, STEP = 1 << 15, 64, 32
 #: Documents whose paragraphs are examples of text without a licence, at most; share of them a family may claim.
 PLAIN_DOCS, FALSE_ALARMS, CONFIRM = 1500, 1e-4, 0.5
+#: Comment marks at either end of a line.
+_MARKS = re.compile(rb"^\s*(?:(?:<!--|//+|/\*+!?|\*+/?|#+!?|--+|;+|%+|>+|dnl\b)\s*)+|\s*(?:\*+/|-->|\*+)\s*$")
+#: Names of families that a text may give by themselves, in few letters.
+NAMES = {b"mit", b"bsd", b"gpl", b"mpl", b"cc0", b"cc"}
 _EDGE = b".,;:!?\"'()[]{}<>"
 
 
@@ -46,13 +59,23 @@ def grams(words: list[bytes]) -> list[int]:
     return sorted({xxhash.xxh3_64_intdigest(g) % BUCKETS for g in (*words, *(a + b" " + b for a, b in zip(words, words[1:], strict=False)))})
 
 
-def paragraphs(text: bytes) -> Iterator[tuple[int, list[bytes]]]:
-    """Number and words of the lines with words; longer ones come in overlapping pieces of 64 words."""
-    for k, line in enumerate(text.split(b"\n")):
-        words = line.split()
-        for at in range(0, max(1, len(words) - STEP), STEP):
-            if words:
-                yield k, words[at : at + LONGEST]
+def paragraphs(text: bytes) -> Iterator[tuple[int, int, list[bytes]]]:
+    """First line, last line and words of each line with words, then of each run of such lines (up to a line that is blank
+    but for comment marks), without comment marks; longer ones come in overlapping pieces of 64 words."""
+    run: list[tuple[int, list[bytes]]] = []
+    for k, line in enumerate(chain(text.split(b"\n"), (b"",))):
+        if words := _MARKS.sub(b"", line).split():
+            run.append((k, words))
+            for at in range(0, max(1, len(words) - STEP), STEP):
+                yield k, k, words[at : at + LONGEST]
+            continue
+        if len(run) > 1:
+            words, of = [w for _, x in run for w in x], [n for n, x in run for _ in x]
+            for at in range(0, max(1, len(words) - STEP), STEP):
+                piece = of[at : at + LONGEST]
+                if piece[0] < piece[-1]:
+                    yield piece[0], piece[-1], words[at : at + LONGEST]
+        run = []
 
 
 class LicenceModel:
@@ -60,7 +83,7 @@ class LicenceModel:
 
     def __init__(self):
         self.weights, self.bar = np.zeros((BUCKETS, len(FAMILIES)), np.float32), 0.0
-        self.cues = {w for f in TEMPLATES.values() for t in f for w in normal(t.encode().split()) if len(w) > 3}
+        self.cues = {w for f in TEMPLATES.values() for t in f for w in normal(t.encode().split()) if len(w) > 3} | NAMES
 
     def fit(self, plain: list[list[bytes]], steps: int = 150, rate: float = 0.3, seed: int = 11) -> LicenceModel:
         """Positives: templates with words dropped, cut, doubled or set among words of plain text. plain: paragraphs;
@@ -73,7 +96,7 @@ class LicenceModel:
             for t in TEMPLATES[family]:
                 words = normal(t.encode().split())
                 for _ in range(60):
-                    some = [w for w in words if rng.random() > rng.choice((0, 0, 0.1, 0.2))] or words
+                    some = words if len(words) < 4 else [w for w in words if rng.random() > rng.choice((0, 0, 0.1, 0.2))] or words
                     if rng.random() < 0.3 and len(some) > 12:
                         cut = rng.randrange(len(some) - 10)
                         some = some[cut : cut + rng.randrange(10, 40)]
@@ -108,7 +131,7 @@ class LicenceModel:
         return self
 
     def suspect(self, words: list[bytes]) -> bool:
-        """Two words of some template, or half of a very short paragraph: all others have no family's n-grams to speak of."""
+        """Two words of some template or names, or half of a very short paragraph: all others have no family's n-grams to speak of."""
         return sum(w in self.cues for w in normal(words)) >= (2 if len(words) > 3 else 1)
 
     def judge(self, words: list[bytes]) -> tuple[str, float, float]:
@@ -122,28 +145,27 @@ class LicenceModel:
         return FAMILIES[best], float(z[best] - z[0]), float(p[best] / p.sum())
 
 
+_PAIRS = {f: [set(zip(w, w[1:], strict=False)) for w in (normal(x.encode().split()) for x in t)] for f, t in TEMPLATES.items()}
+
+
 def containment(words: list[bytes], family: str) -> float:
     """Largest share of a template's word pairs that a paragraph has."""
-    own, best = set(zip(words, words[1:], strict=False)), 0.0
-    for t in TEMPLATES[family]:
-        w = normal(t.encode().split())
-        pairs = set(zip(w, w[1:], strict=False))
-        best = max(best, len(pairs & own) / len(pairs))
-    return best
+    own = set(zip(words, words[1:], strict=False))
+    return max(0.0, *(len(pairs & own) / len(pairs) for pairs in _PAIRS[family]))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LicenceModel:
     """The model; paragraphs of a bounded sample of documents (PLAIN_DOCS, the first by a hash of the id, texts up to
     20,000 characters) that hold no template's pairs of words serve as plain text."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).where(F.length("t") < 20_000)
-    plain = [w for t in first_texts(texts, PLAIN_DOCS) for _, w in paragraphs(t)]
+    plain = [w for t in first_texts(texts, PLAIN_DOCS) for *_, w in paragraphs(t)]
     plain = [w for w in plain if max(containment(normal(w), f) for f in TEMPLATES) < 0.3] if plain else []
     return LicenceModel().fit(plain)
 
 
 def scan(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, families (sorted, confirmed by a template), and found: line, family, probability, containment,
-    confirmed of every paragraph that the classifier claims.
+    """Per row: doc_id, families (sorted, confirmed by a template), and found: first line, family, probability,
+    containment, confirmed of every paragraph (a line, or lines without a blank one between them) that the classifier claims.
 
     Null and empty texts have none. Repeated rows are scanned each; a null id stays null; an empty table gives no rows;
     other columns are ignored.
@@ -157,18 +179,20 @@ def scan(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col:
         for b in batches:
             families, found = [], []
             for text in b.column(1).to_pylist():
-                best: dict[tuple[int, str], dict] = {}
-                for line, words in paragraphs(text):
+                best: list[tuple[int, int, dict]] = []
+                for first, last, words in paragraphs(text):
                     if own.suspect(words):
                         words = normal(words)
                         family, margin, p = own.judge(words)
                         if margin > own.bar:
                             c = containment(words, family)
-                            x = {"line": line, "family": family, "probability": p, "containment": c, "confirmed": c >= CONFIRM}
-                            if best.get((line, family), x)["containment"] <= c:
-                                best[line, family] = x
-                found.append(list(best.values()))
-                families.append(sorted({x["family"] for x in best.values() if x["confirmed"]}))
+                            same = [x for x in best if x[2]["family"] == family and x[0] <= last and first <= x[1]]
+                            # of pieces that share lines the fullest counts; the narrower if equal
+                            if all(x[2]["containment"] < c or (x[2]["containment"] == c and first == last) for x in same):
+                                best = [x for x in best if x not in same]
+                                best.append((first, last, {"line": first, "family": family, "probability": p, "containment": c, "confirmed": c >= CONFIRM}))
+                found.append([x for *_, x in best])
+                families.append(sorted({x["family"] for *_, x in best if x["confirmed"]}))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(families, pa.list_(pa.string())), pa.array(found, kind)], names=["doc_id", "families", "found"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, families array<string>, found array<struct<line:long,family:string,probability:double,containment:double,confirmed:boolean>>")
