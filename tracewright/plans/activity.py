@@ -28,7 +28,7 @@ def parameterised_sql(t: Tables) -> DataFrame:
 @query("s05_json_document", "SELECT cast(doc_id AS bigint) AS doc_id, lang FROM documents WHERE doc_id < 50")
 def json_document(t: Tables) -> DataFrame:
     path = f"{_scratch(t)}.json"
-    t.raw("documents").where("doc_id < 50").select("doc_id", "lang").coalesce(1).write.json(path)
+    t.raw("documents").select("doc_id", "lang").write.json(path)
     return t.spark.read.schema("doc_id long, lang string").option("multiLine", False).json(path)
 
 
