@@ -95,6 +95,19 @@ def distances(edges: DataFrame, start: str, directed: bool = True, most: int = 6
     return seen
 
 
+def all_distances(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """source, id, distance from every node (id) to each that it reaches, itself included; edges go both ways."""
+    step = _kept(neighbours(edges).toDF("a", "b"))
+    seen = _kept(nodes.select(F.col("id").alias("source"), "id", F.lit(0).alias("distance")).distinct())
+    front, d = seen, 0
+    while not front.isEmpty():
+        d += 1
+        nxt = front.join(step, front["id"] == step["a"]).select("source", F.col("b").alias("id")).distinct().join(seen.select("source", "id"), ["source", "id"], "left_anti")
+        front = _kept(nxt.withColumn("distance", F.lit(d)))
+        seen = _kept(seen.unionByName(front))
+    return seen
+
+
 def paths(edges: DataFrame, start: str, goal: str, depth: int = 10, most: int = 10) -> DataFrame:
     """path, length: simple paths from start to goal, shortest first, at most so many."""
     step = edges.select("source", "target").distinct()

@@ -142,11 +142,9 @@ def all_edges(t: Tables) -> DataFrame:
 
 @query("g08_closeness")
 def closeness(t: Tables) -> DataFrame:
-    """Closeness of one node: nodes reached over the sum of distances."""
-    e = _edges(t)
-    start = e.agg(F.min("source")).first()[0]
-    d = graph.distances(e, start, directed=False)
-    return d.agg(F.count("*").alias("reached"), F.sum("distance").alias("total")).select(F.lit(start).alias("id"), "reached", F.when(F.col("total") > 0, F.round(F.col("reached") / F.col("total"), 6)).alias("closeness"))
+    """Closeness of every node: nodes reached (itself included) over the sum of distances; null if isolated."""
+    d = graph.all_distances(_nodes(t), _edges(t)).groupBy(F.col("source").alias("id"))
+    return d.agg(F.count("*").alias("reached"), F.sum("distance").alias("total")).select("id", "reached", F.when(F.col("total") > 0, F.round(F.col("reached") / F.col("total"), 6)).alias("closeness"))
 
 
 @query("g22_structure", f"""RECURSIVE WITH {EDGES}, nb AS (SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges), reach(a, b) AS (SELECT file_path, file_path FROM ev UNION SELECT r.a, nb.b FROM reach r JOIN nb ON r.b = nb.a), c AS (SELECT a, min(b) AS c FROM reach GROUP BY a) SELECT count(*) AS n_components, max(n) AS largest FROM (SELECT c, count(*) AS n FROM c GROUP BY c) x""")
