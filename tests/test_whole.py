@@ -18,3 +18,12 @@ def test_closeness_of_every_node(spark, sf_dir):
     assert far == {("a", "a"): 0, ("a", "b"): 1, ("a", "c"): 2, ("b", "a"): 1, ("b", "b"): 0, ("b", "c"): 1, ("c", "a"): 2, ("c", "b"): 1, ("c", "c"): 0, ("d", "d"): 0}
     rows = catalog.queries()["g08_closeness"](spark, sf_dir).collect()
     assert len(rows) > 1 and len({r["id"] for r in rows}) == len(rows)
+
+
+def test_null_aware_order_returns_all_entries(spark, sf_dir):
+    from tracewright.sources.telemetry import Tables
+
+    rows = catalog.queries()["o02_null_aware_order"](spark, sf_dir).collect()
+    assert len(rows) == Tables(spark, sf_dir).entries.count()
+    nulls = [r["prompt_id"] is None for r in rows]
+    assert nulls == sorted(nulls) and any(nulls)

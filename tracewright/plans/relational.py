@@ -370,7 +370,7 @@ def train_split(t: Tables) -> DataFrame:
 
 @query("o02_null_aware_order", "SELECT entry_id, prompt_id FROM entries ORDER BY prompt_id IS NULL, prompt_id, entry_id LIMIT 300")
 def null_aware_order(t: Tables) -> DataFrame:
-    return t.entries.select("entry_id", "prompt_id").orderBy(F.col("prompt_id").isNull(), "prompt_id", "entry_id").limit(300)
+    return t.entries.select("entry_id", "prompt_id").orderBy(F.col("prompt_id").isNull(), "prompt_id", "entry_id")
 
 
 @query("o04_keywords", """SELECT prompt_id, word, n FROM (SELECT prompt_id, word, count(*) AS n, row_number() OVER (PARTITION BY prompt_id ORDER BY count(*) DESC, word) AS rn FROM
