@@ -27,3 +27,11 @@ def test_null_aware_order_returns_all_entries(spark, sf_dir):
     assert len(rows) == Tables(spark, sf_dir).entries.count()
     nulls = [r["prompt_id"] is None for r in rows]
     assert nulls == sorted(nulls) and any(nulls)
+
+
+def test_distances_have_no_bound(spark):
+    from tracewright.operators import graph
+
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(67)], "source string, target string")
+    assert graph.distances(edges, "n0").agg({"distance": "max"}).first()[0] == 67
+    assert graph.distances(edges, "n0", most=3).agg({"distance": "max"}).first()[0] == 3

@@ -80,13 +80,14 @@ def has_cycle(edges: DataFrame) -> bool:
     return False
 
 
-def distances(edges: DataFrame, start: str, directed: bool = True, most: int = 64) -> DataFrame:
-    """id, distance: steps of the shortest path from start; each level is one join with the edges not yet reached."""
+def distances(edges: DataFrame, start: str, directed: bool = True, most: int | None = None) -> DataFrame:
+    """id, distance: steps of the shortest path from start (at most so many, if most is given); each level is one join with the edges not yet reached."""
     spark: SparkSession = edges.sparkSession
     step = _kept(edges.select("source", "target").distinct() if directed else neighbours(edges).toDF("source", "target"))
     seen = spark.createDataFrame([(start, 0)], "id string, distance int")
-    front = seen
-    for d in range(1, most + 1):
+    front, d = seen, 0
+    while most is None or d < most:
+        d += 1
         nxt = front.join(step, front["id"] == step["source"]).select(F.col("target").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
         front = _kept(nxt.withColumn("distance", F.lit(d)))
         if front.isEmpty():
