@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -233,8 +234,26 @@ def test_sketches_bound_the_quantiles(spark):
     parts = [rules.sketches(df.where(f"word_length % 3 = {i}")) for i in range(3)]
     whole = rules.merged(parts[0].unionByName(parts[1]).unionByName(parts[2]), "lang", "source")
     assert {tuple(r) for r in whole.collect()} == {tuple(r) for r in rules.sketches(df).select(*whole.columns).collect()}
-    for r in rules.quartiles(whole, "lang", "source").collect():
-        assert abs(r["q25"] - 1250) <= 1250 / 31 and abs(r["q75"] - 3750) <= 3750 / 31
+    for r in rules.quantiles(whole, "lang", "source", levels={m: (25, 50, 75) for m in rules.METRICS}).collect():
+        assert all(abs(r[name] - x) <= x / 31 for name, x in (("low", 1250), ("middle", 2500), ("high", 3750)))
+
+
+def test_fences_follow_their_group(spark):
+    """Documents as usual in their own source pass; the same amounts are beyond the fence of another."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(800):
+        code = i % 2 == 0
+        w = [rng.choice("alpha beta gamma delta epsilon zeta eta theta".split()) + str(rng.randrange(900)) for _ in range(60)]
+        signs = rng.randrange(8, 30) if code else 0
+        rows.append((i, " ".join(w) + " " + "#" * signs, "en", "code" if code else "prose"))
+    rows += [(1000, " ".join(f"gammas{k + 10}" for k in range(60)) + " " + "#" * 20, "en", s) for s in ("code", "prose")]
+    got = rules.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    high = {m: {r[f"high_{m}"] for r in got} for m in rules.METRICS}
+    assert len(high["symbol_share"]) == 2
+    verdict = {r["high_symbol_share"] == max(high["symbol_share"]): r["kept"] for r in got if r["doc_id"] == 1000}
+    assert verdict == {True: True, False: False}
+    assert sum(r["kept"] for r in got if r["doc_id"] < 1000) > 780
 
 
 def test_licences(spark, docs, none):

@@ -43,25 +43,36 @@ SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha2
 """
 
 
-def _fence(metric: str, end: str) -> str:
-    """The end of a metric's fence by the thresholds' level that has documents enough."""
-    sign, quarter = ("-", "q25") if end == "low" else ("+", "q75")
-    value = "max(CASE WHEN metric = '{m}' THEN {q} {s} ({f} * (q75 - q25) + {k}) END)"
-    return value.format(m=metric, q=quarter, s=sign, f=rules.FENCE, k=rules.SLACK[metric])
+BASE = "(n_words < 20 OR 100 * n_repeat_words > 30 * n_words)"
+END = "({0} + (1 << greatest(length(bin({0})) - 6, 0)) - 1)"
 
 
 def _level(name: str, keys: str) -> str:
+    """Quantiles of each metric for the sketches of one level."""
     by = f"{keys}, " if keys else ""
-    run = f"""{name}_run AS (SELECT *, sum(n) OVER (PARTITION BY {by}metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}metric) AS total FROM (SELECT {by}metric, bucket, sum(n) AS n FROM sketch GROUP BY {by}metric, bucket) x),
-{name}_q AS (SELECT {by}metric, max(total) AS n_docs, min(CASE WHEN 4 * upto >= total THEN bucket END) AS q25, min(CASE WHEN 4 * upto >= 3 * total THEN bucket END) AS q75 FROM {name}_run GROUP BY {by}metric)"""
-    ends = ", ".join(f"{_fence(m, e)} AS {name}_{e}_{m}" for m in rules.METRICS for e in ("low", "high"))
-    return f"{run},\n{name} AS (SELECT {by}max(n_docs) AS {name}_docs, {ends} FROM {name}_q {f'GROUP BY {keys}' if keys else ''})"
+
+    def at(m: str, share: int) -> str:
+        return f"min(CASE WHEN metric = '{m}' AND 100 * upto >= {share} * total THEN bucket END)"
+
+    run = f"{name}_run AS (SELECT *, sum(n) OVER (PARTITION BY {by}metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}metric) AS total FROM (SELECT {by}metric, bucket, sum(n) AS n FROM sketch GROUP BY {by}metric, bucket) x)"
+    ends = ", ".join(f"{at(m, lo)} AS {name}_low_{m}, {END.format(at(m, hi))} AS {name}_high_{m}, {far} * ({END.format(at(m, hi))} - {at(m, mid)}) AS {name}_spread_{m}" for m, (lo, mid, hi, far) in rules.LEVELS.items())
+    return f"{run},\n{name} AS (SELECT {by}max(total) AS {name}_docs, {ends} FROM {name}_run {f'GROUP BY {keys}' if keys else ''})"
+
+
+def _wider(x: str) -> str:
+    return f"CASE WHEN lang_docs >= {rules.LEAST_DOCS} THEN lang_{x} ELSE all_{x} END"
 
 
 def _pick(x: str) -> str:
-    return f"CASE WHEN own_docs >= {rules.LEAST_DOCS} THEN own_{x} WHEN lang_docs >= {rules.LEAST_DOCS} THEN lang_{x} ELSE all_{x} END"
+    return f"CASE WHEN own_docs >= {rules.LEAST_DOCS} THEN own_{x} ELSE {_wider(x)} END"
+
+
+def _fences(m: str) -> str:
+    spread = f"greatest({_pick(f'spread_{m}')}, {_wider(f'spread_{m}')})" if m in rules.POOLED else f"({_pick(f'spread_{m}')})"
+    return f"{_pick(f'low_{m}')} - {spread} AS low_{m}, greatest({_pick(f'high_{m}')} + {spread}, coalesce(least_{m}, 0)) AS high_{m}"
 
 
+LEAST = ", ".join(f"min(CASE WHEN metric = '{m}' AND 100 * upto >= {rules.SMALL} * total THEN bucket END) AS least_{m}" for m in rules.METRICS)
 QUALITY_RULES = f"""
 WITH base AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
 win AS (SELECT doc_id, p, array_to_string(list_slice(w, p, p + 7), ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS p FROM base WHERE len(w) >= 8) x),
@@ -71,14 +82,15 @@ ln AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS du
 counted AS (SELECT base.doc_id, lang, source, len(w) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_lines, 0) AS n_lines, coalesce(dup, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
   FROM base LEFT JOIN ln ON base.doc_id = ln.doc_id LEFT JOIN rep ON base.doc_id = rep.doc_id),
 m AS (SELECT *, 100 * word_chars // greatest(n_words, 1) AS word_length, 10000 * n_symbols // greatest(word_chars, 1) AS symbol_share, 10000 * n_dup_lines // greatest(n_lines, 1) AS dup_line_share, 10000 * n_repeat_words // greatest(n_words, 1) AS repeat_share FROM counted),
-long AS ({" UNION ALL ".join(f"SELECT lang, source, '{x}' AS metric, {x} AS v FROM m" for x in rules.METRICS)}),
+long AS ({" UNION ALL ".join(f"SELECT lang, source, '{x}' AS metric, {x} AS v FROM m WHERE NOT {BASE}" for x in rules.METRICS)}),
 sketch AS (SELECT lang, source, metric, (v >> greatest(length(bin(v)) - 6, 0)) * (1 << greatest(length(bin(v)) - 6, 0)) AS bucket, count(*) AS n FROM long GROUP BY 1, 2, 3, 4),
 {_level("own", "lang, source")},
 {_level("lang", "lang").replace("lang AS (SELECT lang,", "lang AS (SELECT lang AS of_lang,")},
 {_level("all", "")},
-f AS (SELECT own.lang, own.source, {", ".join(f"{_pick(f'{e}_{x}')} AS {e}_{x}" for x in rules.METRICS for e in ("low", "high"))} FROM own JOIN lang ON own.lang = lang.of_lang CROSS JOIN "all")
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
-  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT (word_length < low_word_length OR {" OR ".join(f"{x} > high_{x}" for x in rules.METRICS)}) AS kept,
+few AS (SELECT {LEAST} FROM (SELECT metric, bucket, sum(n) OVER (PARTITION BY metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY metric) AS total FROM (SELECT metric, bucket, sum(n) AS n FROM sketch WHERE bucket > 0 GROUP BY 1, 2) x) y),
+f AS (SELECT own.lang, own.source, {", ".join(map(_fences, rules.METRICS))} FROM own JOIN lang ON own.lang = lang.of_lang CROSS JOIN "all" CROSS JOIN few)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {BASE} AS base_failed,
+  NOT {BASE} AND NOT coalesce(word_length < low_word_length OR {" OR ".join(f"{x} > high_{x}" for x in rules.METRICS)}, false) AS kept,
   {", ".join(rules.METRICS)}, {", ".join(f"cast(high_{x} AS bigint) AS high_{x}" for x in rules.METRICS)}
-FROM m JOIN f ON m.lang = f.lang AND m.source = f.source
+FROM m LEFT JOIN f ON m.lang = f.lang AND m.source = f.source
 """.replace('all AS (SELECT max', '"all" AS (SELECT max')
