@@ -263,7 +263,7 @@ def test_licences(spark, docs, none):
     assert got == {1: ["apache-2.0"], 2: [], 3: [], 4: ["mit"], 5: [], 6: ["mit"]}
     line = licenses.scan(more.where("doc_id = 1"), model).first()["found"][0]
     assert line["line"] == 1 and line["confirmed"]
-    assert licenses.scan(none, model).count() == 0 and licenses.train(none).bar == 0
+    assert licenses.scan(none, model).count() == 0 and licenses.scan(more, licenses.train(none)).count() == 6
 
 
 def test_language_model(docs, corpus, none):
@@ -335,3 +335,36 @@ def test_licences_over_lines(docs):
     got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
     assert [list(r["families"]) for r in got] == [["mit"], ["mit"], ["gpl"], ["mit"], ["gpl"], []]
     assert [x["line"] for x in got[2]["found"] if x["confirmed"]] == [2]
+
+
+def test_licences_on_text_not_seen(docs):
+    """Every notice in every wrapping is found, plain paragraphs of other documents raise no alarm, and probabilities are
+    about as often right as they say."""
+    import textwrap
+
+    rng = random.Random(9)
+    model, words = licenses.train(docs), licenses.Words()
+    pool = [f"{a}{b}" for a in ("lo", "ra", "mi", "tu", "ve", "sha") for b in ("n", "ter", "dis", "qua", "", "pol", "xy")] + ["the", "license", "granted", "free", "public"]
+    plain = lambda n: " ".join(rng.choice(pool) for _ in range(n))
+
+    def families(text):
+        x = licenses.Layout(text.encode(), words)
+        return {y["family"] for y in licenses.found_in(x, [c[1:] for c in model.claims([x])]) if y["confirmed"]}
+
+    hit, all_ = 0, 0
+    for family, notices in licenses.TEMPLATES.items():
+        for notice in notices:
+            for width in (50, 78, 1000):
+                for mark in ("", "# ", " * "):
+                    lines = [mark + x for x in textwrap.wrap(notice, width)]
+                    hit += families("\n".join([plain(30), "", *lines, "", plain(30)])) == {family}
+                    all_ += 1
+    assert hit >= 0.97 * all_
+    assert sum(bool(families("\n".join(plain(rng.randrange(3, 60)) for _ in range(8)))) for _ in range(300)) <= 1
+    sure, right = [], []
+    for k, some in [*model._positives(pool, 5, random.Random(3)), *((0, plain(30).split()) for _ in range(200))]:
+        some = [w if isinstance(w, bytes) else w.encode() for w in some]
+        p = model.probabilities(model.raw(words.hashes(some))[None])[0]
+        sure.append(p.max())
+        right.append(p.argmax() == k)
+    assert abs(np.mean(sure) - np.mean(right)) < 0.1

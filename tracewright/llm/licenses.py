@@ -5,7 +5,6 @@ from __future__ import annotations
 import random
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import id_and_text, tune
-from .labelled import first_texts
+from ._common import id_and_text, mixed, tune
+from .labelled import TRAIN_BYTES, first_texts
 
 #: Notices by which each family is known, in common wordings: fixed values.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -40,132 +39,239 @@ SPDX = {
 TEMPLATES = {f: (*t, *(f"SPDX-License-Identifier: {x}" for x in SPDX.get(f, ()))) for f, t in TEMPLATES.items()}
 UNKNOWN = "unknown"
 FAMILIES = (UNKNOWN, *TEMPLATES)
-BUCKETS, LONGEST, STEP = 1 << 15, 64, 32
-#: Documents whose paragraphs are examples of text without a licence, at most; share of them a family may claim.
-PLAIN_DOCS, FALSE_ALARMS, CONFIRM = 1500, 1e-4, 0.5
+#: Buckets of the hashed words and pairs; words of a paragraph's piece and between the starts of two pieces.
+BUCKETS, LONGEST, STEP = 1 << 16, 96, 32
+#: Documents whose paragraphs are examples of text without a licence, at most; share of a template that confirms it.
+PLAIN_DOCS, CONFIRM = 800, 0.5
+#: Words of texts that are looked at together: a memory bound.
+WORDS_AT_ONCE, REMEMBERED = 1 << 16, 500_000
 #: Comment marks at either end of a line.
 _MARKS = re.compile(rb"^\s*(?:(?:<!--|//+|/\*+!?|\*+/?|#+!?|--+|;+|%+|>+|dnl\b)\s*)+|\s*(?:\*+/|-->|\*+)\s*$")
-#: Names of families that a text may give by themselves, in few letters.
-NAMES = {b"mit", b"bsd", b"gpl", b"mpl", b"cc0", b"cc"}
 _EDGE = b".,;:!?\"'()[]{}<>"
+_PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def normal(words: list[bytes]) -> list[bytes]:
     return [w for w in (x.lower().strip(_EDGE) for x in words) if w]
 
 
-def grams(words: list[bytes]) -> list[int]:
-    """Buckets of the words and of pairs of neighbours."""
-    return sorted({xxhash.xxh3_64_intdigest(g) % BUCKETS for g in (*words, *(a + b" " + b for a, b in zip(words, words[1:], strict=False)))})
+class Words:
+    """Hashes of words in their normal form; 0 for what is all punctuation. Frequent words are hashed once."""
 
+    def __init__(self):
+        self.seen: dict[bytes, int] = {}
+
+    def hashes(self, words: list[bytes]) -> np.ndarray:
+        if len(self.seen) > REMEMBERED:
+            self.seen.clear()
+        for w in set(words).difference(self.seen):
+            x = w.lower().strip(_EDGE)
+            self.seen[w] = xxhash.xxh3_64_intdigest(x) or 1 if x else 0
+        return np.fromiter(map(self.seen.__getitem__, words), np.uint64, len(words))
+
+
+class Layout:
+    """A text's words without comment marks and bare punctuation, and its pieces: each line, and each run of lines up to
+    one that is blank but for comment marks, both cut into overlapping pieces of LONGEST words where they are longer."""
+
+    def __init__(self, text: bytes, words: Words):
+        raw, line_of, lines, runs, begun = [], [], [], [], 0
+        for k, line in enumerate(text.split(b"\n")):
+            own = _MARKS.sub(b"", line).split()
+            if own:
+                lines.append((len(raw), len(raw) + len(own)))
+                raw += own
+                line_of += [k] * len(own)
+            elif begun < len(raw):
+                runs.append((begun, len(raw)))
+                begun = len(raw)
+        if begun < len(raw):
+            runs.append((begun, len(raw)))
+        found = words.hashes(raw)
+        on = found != 0
+        place = np.concatenate([[0], np.cumsum(on)])
+        self.raw, self.where, self.h = raw, np.flatnonzero(on), found[on]
+        self.line_of = np.array(line_of, np.int64)[on]
+        starts, ends = [], []
+        for part, whole in ((lines, True), (runs, False)):
+            for i, j in place[np.array(part, np.int64).reshape(-1, 2)].tolist():
+                for at in range(i, max(i + 1, j - LONGEST + STEP), STEP):
+                    end = min(j, at + LONGEST)
+                    if end > at and (whole or self.line_of[at] < self.line_of[end - 1]):
+                        starts.append(at)
+                        ends.append(end)
+        self.starts, self.ends = np.array(starts, np.int64), np.array(ends, np.int64)
+
+    def words(self, start: int, end: int) -> list[bytes]:
+        return normal([self.raw[i] for i in self.where[start:end].tolist()])
 
-def paragraphs(text: bytes) -> Iterator[tuple[int, int, list[bytes]]]:
-    """First line, last line and words of each line with words, then of each run of such lines (up to a line that is blank
-    but for comment marks), without comment marks; longer ones come in overlapping pieces of 64 words."""
-    run: list[tuple[int, list[bytes]]] = []
-    for k, line in enumerate(chain(text.split(b"\n"), (b"",))):
-        if words := _MARKS.sub(b"", line).split():
-            run.append((k, words))
-            for at in range(0, max(1, len(words) - STEP), STEP):
-                yield k, k, words[at : at + LONGEST]
-            continue
-        if len(run) > 1:
-            words, of = [w for _, x in run for w in x], [n for n, x in run for _ in x]
-            for at in range(0, max(1, len(words) - STEP), STEP):
-                piece = of[at : at + LONGEST]
-                if piece[0] < piece[-1]:
-                    yield piece[0], piece[-1], words[at : at + LONGEST]
-        run = []
+
+def buckets(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word, and of each pair of neighbours."""
+    one = (h % np.uint64(BUCKETS)).astype(np.int64)
+    return one, (mixed(h[:-1] * _PAIR + h[1:]) % np.uint64(BUCKETS)).astype(np.int64)
 
 
 class LicenceModel:
-    """Multinomial logistic regression with a class for no known licence, and a bar on the margin over that class."""
+    """Multinomial logistic regression over words and pairs, with a class for no known licence. Probabilities are
+    calibrated on examples that the weights were not fitted on, by a temperature and a shift of the unknown class."""
 
     def __init__(self):
-        self.weights, self.bar = np.zeros((BUCKETS, len(FAMILIES)), np.float32), 0.0
-        self.cues = {w for f in TEMPLATES.values() for t in f for w in normal(t.encode().split()) if len(w) > 3} | NAMES
-
-    def fit(self, plain: list[list[bytes]], steps: int = 150, rate: float = 0.3, seed: int = 11) -> LicenceModel:
-        """Positives: templates with words dropped, cut, doubled or set among words of plain text. plain: paragraphs;
-        four in five train the unknown class, the others set the bar, so that few of them pass."""
-        rng = random.Random(seed)
-        pool = [w for p in plain for w in normal(p)] or [b"lorem"]
-        held, taught = plain[::5], [p for i, p in enumerate(plain) if i % 5]
-        bags, y = [], []
+        self.weights, self.bias = np.zeros((BUCKETS, len(FAMILIES)), np.float32), np.zeros(len(FAMILIES))
+        self.temperature, self.shift = 1.0, 0.0
+
+    @staticmethod
+    def _positives(pool: list[bytes], times: int, rng: random.Random) -> Iterator[tuple[int, list[bytes]]]:
+        """Templates with words dropped, cut, and set among words of plain text."""
         for k, family in enumerate(FAMILIES[1:], 1):
             for t in TEMPLATES[family]:
                 words = normal(t.encode().split())
-                for _ in range(60):
+                for _ in range(times):
                     some = words if len(words) < 4 else [w for w in words if rng.random() > rng.choice((0, 0, 0.1, 0.2))] or words
                     if rng.random() < 0.3 and len(some) > 12:
                         cut = rng.randrange(len(some) - 10)
                         some = some[cut : cut + rng.randrange(10, 40)]
-                    before, after = rng.choices(pool, k=rng.choice((0, 0, 2, 12))), rng.choices(pool, k=rng.choice((0, 0, 2, 12)))
-                    bags.append(grams([*before, *some, *after]))
-                    y.append(k)
-        # ordinary sentences that speak of licences are of the unknown class, too
-        cues = sorted(self.cues)
-        for p in taught[:4000]:
-            words = normal(p)
-            bags.append(grams(words))
-            y.append(0)
-            if rng.random() < 0.5:
-                bags.append(grams([*words[:10], *rng.choices(cues, k=2), *words[10:20]]))
-                y.append(0)
-        rows = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-        cols = np.concatenate([np.array(b, np.int64) for b in bags]) if bags else np.empty(0, np.int64)
-        used, inner = np.unique(cols, return_inverse=True)
-        scale = 1 / np.sqrt(np.maximum(1, np.bincount(rows, minlength=len(bags))))
-        w, target = np.zeros((len(used), len(FAMILIES))), np.eye(len(FAMILIES))[y]
-        square = np.full_like(w, 1e-6)
-        for _ in range(steps):
-            z = np.stack([np.bincount(rows, w[inner, k], len(bags)) for k in range(len(FAMILIES))], 1) * scale[:, None]
-            p = np.exp(z - z.max(1, keepdims=True))
-            d = (p / p.sum(1, keepdims=True) - target) * scale[:, None] / len(bags)
-            g = np.stack([np.bincount(inner, d[rows, k], len(used)) for k in range(len(FAMILIES))], 1) + 1e-6 * w
-            square += g * g
-            w -= rate * g / np.sqrt(square)
-        self.weights[used] = w
-        margins = np.array([self.judge(normal(p))[1] for p in held if self.suspect(p)] or [0.0])
-        self.bar = max(0.0, float(np.quantile(margins, 1 - FALSE_ALARMS)) if len(margins) > 1 else 0.0)
+                    before, after = rng.choices(pool, k=rng.choice((0, 0, 2, 12, 30))), rng.choices(pool, k=rng.choice((0, 0, 2, 12, 30)))
+                    yield k, [*before, *some, *after]
+
+    @staticmethod
+    def _negatives(plain: list[list[bytes]], rng: random.Random) -> Iterator[tuple[int, list[bytes]]]:
+        """Plain paragraphs, sentences among them that speak of licences, and words of templates in no order."""
+        cues = sorted({w for f in TEMPLATES.values() for t in f for w in normal(t.encode().split())})
+        for words in plain:
+            yield 0, words
+            if rng.random() < 0.3:
+                yield 0, [*words[:10], *rng.choices(cues, k=2), *words[10:20]]
+        for _ in range(300):
+            yield 0, rng.choices(cues, k=rng.randrange(1, 12))
+
+    def fit(self, plain: list[list[bytes]], epochs: int = 8, rate: float = 0.3, batch: int = 2048, seed: int = 11) -> LicenceModel:
+        """plain: paragraphs; four in five train the unknown class, the others serve to calibrate."""
+        rng, words = random.Random(seed), Words()
+        plain = [x for x in map(normal, plain) if x]
+        held, taught = plain[::5], [p for i, p in enumerate(plain) if i % 5]
+        pool = [w for p in taught for w in p] or [b"lorem"]
+        bags = [*self._positives(pool, 60, rng), *self._negatives(taught, rng)]
+        rng.shuffle(bags)
+        square = np.full(self.weights.shape, 1e-6, np.float32)
+        square_bias = np.full(len(FAMILIES), 1e-6)
+        packed = []
+        for at in range(0, len(bags), batch):
+            some = bags[at : at + batch]
+            cols = [np.concatenate(buckets(words.hashes(x))) for _, x in some]
+            n = np.array([len(c) for c in cols])
+            flat, row = np.concatenate(cols), np.repeat(np.arange(len(some)), n)
+            order = np.argsort(flat, kind="stable")
+            first = np.flatnonzero(np.diff(flat[order], prepend=-1))
+            packed.append((flat, np.cumsum(n) - n, (1 / np.sqrt(n)).astype(np.float32), row[order], flat[order][first], first, np.eye(len(FAMILIES))[[k for k, _ in some]]))
+        for _ in range(epochs):
+            for flat, start, scale, row, own, first, target in packed:
+                z = np.add.reduceat(self.weights[flat], start) * scale[:, None] + self.bias
+                d = (self._softmax(z) - target) / len(target)
+                g = np.add.reduceat((d * scale[:, None]).astype(np.float32)[row], first)
+                square[own] += g * g
+                self.weights[own] -= rate * g / np.sqrt(square[own])
+                square_bias += d.sum(0) ** 2
+                self.bias -= rate * d.sum(0) / np.sqrt(square_bias)
+        checks = [*self._positives([w for p in held for w in p] or pool, 10, rng), *self._negatives(held, rng)]
+        self._calibrate(np.stack([self.raw(words.hashes(x)) for _, x in checks]), np.array([k for k, _ in checks]))
         return self
 
-    def suspect(self, words: list[bytes]) -> bool:
-        """Two words of some template or names, or half of a very short paragraph: all others have no family's n-grams to speak of."""
-        return sum(w in self.cues for w in normal(words)) >= (2 if len(words) > 3 else 1)
+    @staticmethod
+    def _softmax(z: np.ndarray) -> np.ndarray:
+        p = np.exp(z - z.max(1, keepdims=True))
+        return p / p.sum(1, keepdims=True)
 
-    def judge(self, words: list[bytes]) -> tuple[str, float, float]:
-        """Family, margin of its score over the unknown class, probability."""
-        b = grams(words)
-        if not b:
-            return UNKNOWN, -np.inf, 1.0
-        z = self.weights[b].sum(0) / np.sqrt(len(b))
-        p = np.exp(z - z.max())
-        best = int(z[1:].argmax()) + 1
-        return FAMILIES[best], float(z[best] - z[0]), float(p[best] / p.sum())
+    def _calibrate(self, z: np.ndarray, y: np.ndarray) -> None:
+        """The temperature and shift of the least log loss."""
 
+        def loss(t: float, c: float) -> float:
+            self.temperature, self.shift = t, c
+            return -float(np.log(np.maximum(self.probabilities(z)[np.arange(len(y)), y], 1e-300)).mean())
 
-_PAIRS = {f: [set(zip(w, w[1:], strict=False)) for w in (normal(x.encode().split()) for x in t)] for f, t in TEMPLATES.items()}
+        best = min(((loss(t, c), t, c) for t in np.geomspace(0.25, 4, 25) for c in np.linspace(-3, 3, 25)), key=lambda x: x[0])
+        _, self.temperature, self.shift = best
+
+    def raw(self, h: np.ndarray) -> np.ndarray:
+        """Scores of one piece."""
+        return self.scores(h, np.array([0]), np.array([len(h)]))[0]
+
+    def scores(self, h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Scores of pieces of a row of words: differences of running sums, so that overlapping pieces cost nothing more."""
+        one, two = buckets(h)
+        each, before = self.weights[one], np.concatenate([np.zeros((1, len(FAMILIES)), np.float32), self.weights[two]])
+        upto = np.concatenate([np.zeros((1, len(FAMILIES))), np.cumsum(each + before, axis=0, dtype=np.float64)])
+        return (upto[ends] - upto[starts] - before[starts]) / np.sqrt(2 * (ends - starts) - 1)[:, None] + self.bias
+
+    def probabilities(self, z: np.ndarray) -> np.ndarray:
+        z = z.copy()
+        z[:, 0] += self.shift
+        return self._softmax(z / self.temperature)
+
+    def claims(self, texts: list[Layout]) -> Iterator[tuple[int, int, int, str, float]]:
+        """Text, start, end, family and probability of each piece that is likelier some family's than unknown."""
+        sizes = np.cumsum([0, *(len(x.h) for x in texts)])
+        of = np.repeat(np.arange(len(texts)), [len(x.starts) for x in texts])
+        starts, ends = (np.concatenate([getattr(x, side) + at for x, at in zip(texts, sizes, strict=False)]) if texts else np.empty(0, np.int64) for side in ("starts", "ends"))
+        if not len(starts):
+            return
+        p = self.probabilities(self.scores(np.concatenate([x.h for x in texts]), starts, ends))
+        best = p.argmax(1)
+        for k in np.flatnonzero(best).tolist():
+            at = int(sizes[of[k]])
+            yield int(of[k]), int(starts[k]) - at, int(ends[k]) - at, FAMILIES[best[k]], float(p[k, best[k]])
+
+
+_PAIRS = {f: [(len(w), set(zip(w, w[1:], strict=False))) for w in (normal(x.encode().split()) for x in t)] for f, t in TEMPLATES.items()}
+_ALL_PAIRS = {p for t in _PAIRS.values() for _, pairs in t for p in pairs}
+
+
+def plain_text(words: list[bytes]) -> bool:
+    """Whether a paragraph holds little of any template."""
+    return _ALL_PAIRS.isdisjoint(zip(words, words[1:], strict=False)) or max(containment(words, f) for f in TEMPLATES) < 0.3
 
 
 def containment(words: list[bytes], family: str) -> float:
-    """Largest share of a template's word pairs that a paragraph has."""
-    own = set(zip(words, words[1:], strict=False))
-    return max(0.0, *(len(pairs & own) / len(pairs) for pairs in _PAIRS[family]))
+    """Largest share of a template's word pairs in a span of twice its length that slides over the words."""
+    own, best = list(zip(words, words[1:], strict=False)), 0.0
+    distinct = set(own)
+    for n, pairs in _PAIRS[family]:
+        if len(pairs & distinct) <= best * len(pairs):
+            continue
+        for at in range(0, max(1, len(own) - n), max(1, n // 2)):
+            best = max(best, len(pairs.intersection(own[at : at + 2 * n])) / len(pairs))
+    return best
+
 
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = TRAIN_BYTES) -> LicenceModel:
+    """The model. All paragraphs of a bounded sample of documents (PLAIN_DOCS, the first by a hash of the id, of
+    most_bytes together) that hold no template's pairs of words serve as plain text."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
+    words, plain = Words(), []
+    for t in first_texts(texts, PLAIN_DOCS, most_bytes):
+        x = Layout(t, words)
+        plain += [x.words(i, j) for i, j in zip(x.starts.tolist(), x.ends.tolist(), strict=True)]
+    return LicenceModel().fit(list(filter(plain_text, plain)))
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LicenceModel:
-    """The model; paragraphs of a bounded sample of documents (PLAIN_DOCS, the first by a hash of the id, texts up to
-    20,000 characters) that hold no template's pairs of words serve as plain text."""
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).where(F.length("t") < 20_000)
-    plain = [w for t in first_texts(texts, PLAIN_DOCS) for *_, w in paragraphs(t)]
-    plain = [w for w in plain if max(containment(normal(w), f) for f in TEMPLATES) < 0.3] if plain else []
-    return LicenceModel().fit(plain)
+
+def found_in(x: Layout, claims: list[tuple[int, int, str, float]]) -> list[dict]:
+    """What a text's claims say: of pieces of one family that share lines the one that holds most of a template counts,
+    the narrower if equal; a piece within the lines of another family's goes if that holds more of its template."""
+    out: list[tuple[int, int, dict]] = []
+    for start, end, family, p in claims:
+        first, last = int(x.line_of[start]), int(x.line_of[end - 1])
+        c = containment(x.words(start, end), family)
+        same = [y for y in out if y[2]["family"] == family and y[0] <= last and first <= y[1]]
+        if all(y[2]["containment"] < c or (y[2]["containment"] == c and first == last) for y in same):
+            out = [y for y in out if y not in same]
+            out.append((first, last, {"line": first, "family": family, "probability": p, "containment": c, "confirmed": c >= CONFIRM}))
+    return [y for first, last, y in out if not any(a <= first and last <= b and z["containment"] > y["containment"] for a, b, z in out)]
 
 
 def scan(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, families (sorted, confirmed by a template), and found: first line, family, probability,
-    containment, confirmed of every paragraph (a line, or lines without a blank one between them) that the classifier claims.
+    containment, confirmed of every paragraph that the classifier claims (a line, or lines without a blank one between
+    them; every one of every whole text is judged).
 
     Null and empty texts have none. Repeated rows are scanned each; a null id stays null; an empty table gives no rows;
     other columns are ignored.
@@ -175,24 +281,25 @@ def scan(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col:
     kind = pa.list_(pa.struct([("line", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("containment", pa.float64()), ("confirmed", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own, words = shared.value, Words()
+
+        def judged(texts: list[Layout]) -> Iterator[list[dict]]:
+            claims: list[list] = [[] for _ in texts]
+            for k, *claim in own.claims(texts):
+                claims[k].append(claim)
+            for x, y in zip(texts, claims, strict=True):
+                yield found_in(x, y)
+
         for b in batches:
-            families, found = [], []
-            for text in b.column(1).to_pylist():
-                best: list[tuple[int, int, dict]] = []
-                for first, last, words in paragraphs(text):
-                    if own.suspect(words):
-                        words = normal(words)
-                        family, margin, p = own.judge(words)
-                        if margin > own.bar:
-                            c = containment(words, family)
-                            same = [x for x in best if x[2]["family"] == family and x[0] <= last and first <= x[1]]
-                            # of pieces that share lines the fullest counts; the narrower if equal
-                            if all(x[2]["containment"] < c or (x[2]["containment"] == c and first == last) for x in same):
-                                best = [x for x in best if x not in same]
-                                best.append((first, last, {"line": first, "family": family, "probability": p, "containment": c, "confirmed": c >= CONFIRM}))
-                found.append([x for *_, x in best])
-                families.append(sorted({x["family"] for *_, x in best if x["confirmed"]}))
+            found, held, size = [], [], 0
+            for text in b.column(1):
+                held.append(Layout(text.as_py(), words))
+                size += len(held[-1].h)
+                if size > WORDS_AT_ONCE:
+                    found += judged(held)
+                    held, size = [], 0
+            found += judged(held)
+            families = [sorted({x["family"] for x in f if x["confirmed"]}) for f in found]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(families, pa.list_(pa.string())), pa.array(found, kind)], names=["doc_id", "families", "found"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, families array<string>, found array<struct<line:long,family:string,probability:double,containment:double,confirmed:boolean>>")
