@@ -61,14 +61,18 @@ def test_token_files(spark, docs, corpus, none, tmp_path):
     assert [x for x in order if x is not None] == sorted(x for x in order if x is not None)
     crc = {(r["doc_id"], r["ids_crc32"]) for r in dac.digests(spark, f"file://{tmp_path}/t").collect()}
     assert crc == {(r[0], zlib.crc32(np.array(ids[r[1]], "<u4").tobytes())) for r in corpus}
+    tied = spark.createDataFrame([(7, f"text {i % 5}") for i in range(40)] + [(None, "b"), (None, "a")], "doc_id long, text string")
+    for k in (1, 3):
+        dac.write(tied.repartition(k), f"file://{tmp_path}/k{k}", shards=k)
+    starts = [sorted(map(tuple, dac.digests(spark, f"file://{tmp_path}/k{k}").select("start", "doc_id", "ids_crc32").collect())) for k in (1, 3)]
+    assert starts[0] == starts[1]
     dac.write(none, f"file://{tmp_path}/e")
     assert dac.read(spark, f"file://{tmp_path}/e").count() == 0
 
 
-@pytest.mark.parametrize("level", [True, False])
-def test_packing(docs, corpus, none, level):
+def test_packing(docs, corpus, none):
     ids = ids_of({r[1] for r in corpus})
-    rows = packing.pack(docs, capacity=256, level=level).collect()
+    rows = packing.pack(docs, capacity=256).collect()
     by_seq, pieces = defaultdict(list), defaultdict(list)
     for r in rows:
         by_seq[r["sequence_id"]].append(r)
@@ -79,8 +83,8 @@ def test_packing(docs, corpus, none, level):
             assert r["offset"] == at and r["length"] > 0
             at += r["length"]
         assert at <= 256 and at == own[0]["sequence_tokens"]
-        if level:
-            assert at & (at - 1) == 0  # nothing is padded
+        whole = [r["length"] == r["doc_tokens"] or r["doc_tokens"] > 256 for r in own]
+        assert all(whole) or at & (at - 1) == 0  # only sequences without padding hold cut pieces of short documents
     assert sum(r["length"] for r in rows) == sum(len(ids[r[1]]) for r in corpus)
     single = Counter((r[0], len(ids[r[1]])) for r in corpus)
     for doc, text in {(r[0], r[1]) for r in corpus}:
@@ -94,6 +98,19 @@ def test_packing(docs, corpus, none, level):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_has_little_padding_and_few_cuts():
+    rng = np.random.default_rng(8)
+    packer, rows, sizes = packing.Packer(0), [], np.minimum(rng.lognormal(5.8, 1.1, 6000).astype(int) + 1, 40_000)
+    for doc, n in enumerate(sizes.tolist()):
+        rows += packer.add(doc, np.full(n, doc, "<u4").tobytes())
+    rows += packer.flush()
+    padded = {r[5]: (r[7], r[8]) for r in rows}
+    assert sum(r[2] for r in rows) == sizes.sum() == sum(n for n, _ in padded.values())
+    assert sum(p for _, p in padded.values()) < 1.015 * sizes.sum()
+    short = Counter(r[0] for r in rows if r[4] < 4096)
+    assert sum(n > 1 for n in short.values()) <= 16
+
+
 def test_differencing_gives_near_equal_sums():
     rng = np.random.default_rng(2)
     sizes = rng.integers(1, 400, 500)
@@ -163,6 +180,19 @@ def test_large_groups_in_cells(docs, corpus, monkeypatch):
     monkeypatch.setattr(ngram_join, "CELL", 1)
     monkeypatch.setattr(ngram_join, "UNIT", 3)
     assert {(r["doc_id"], r["component_id"]) for r in ngram_join.similarity_classes(docs).collect()} == plain
+    monkeypatch.setattr(ngram_join, "CELL", 20_000)
+    monkeypatch.setattr(ngram_join, "UNIT", 500_000)
+    monkeypatch.setattr(ngram_join, "SPLIT", 2)
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
+    assert {(r["doc_id"], r["component_id"]) for r in ngram_join.similarity_classes(docs).collect()} == plain
+
+
+def test_first_of_classes_chooses_rows(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a, 1), (5, a, 2), (5, b, 3), (5, b, 4), (None, a, 5), (None, c, 6), (7, "", 7), (8, None, 8), (8, None, 9), (9, "", 10), (6, a + " more", 11)]
+    got = ngram_join.first_of_classes(spark.createDataFrame(rows, "doc_id long, text string, row_hash int")).collect()
+    assert of([r.asDict() for r in got], "doc_id", "text") == sorted(([d, t] for d, t in [(1, a), (5, b), (None, c), (7, ""), (8, None), (9, "")]), key=lambda x: [(v is None, str(v)) for v in x])
+    assert got[0].asDict().keys() == {"doc_id", "text", "row_hash"}
 
 
 def test_signature_tree_keeps_every_link():

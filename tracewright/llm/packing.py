@@ -17,6 +17,8 @@ from .tokens import END, default_tokenizer, tokenizer_for
 WINDOW = 4096
 #: Tokens of a block: its pieces are packed together in memory. A memory bound, not a limit of the input.
 BLOCK_TOKENS = 1 << 20
+#: Part of the capacity that windows are left with on average, so that near-equal ones need no more windows.
+SPARE = 128
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, padded_tokens long"
 
 
@@ -75,30 +77,6 @@ def windows(sizes: np.ndarray, capacity: int) -> list[list[int]]:
         k += 1
 
 
-def levelled(found: list[list[tuple]], capacity: int) -> list[list[tuple]]:
-    """Near-equal windows whose mean is the capacity: what exceeds it is cut off and fills those below it."""
-    over, out = [], []
-    for own in found:
-        n, kept = 0, []
-        for doc, start, ids, total in own:
-            here = min(len(ids) // 4, capacity - n)
-            if here:
-                kept.append((doc, start, ids[: 4 * here], total))
-            if 4 * here < len(ids):
-                over.append((doc, start + here, ids[4 * here :], total))
-            n += here
-        out.append((n, kept))
-    for n, kept in out:
-        while n < capacity:
-            doc, start, ids, total = over.pop()
-            here = min(len(ids) // 4, capacity - n)
-            kept.append((doc, start, ids[: 4 * here], total))
-            if 4 * here < len(ids):
-                over.append((doc, start + here, ids[4 * here :], total))
-            n += here
-    return [kept for _, kept in out]
-
-
 def powers(n: int) -> list[int]:
     """n as a sum of falling powers of two: sequences of those lengths need no padding."""
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
@@ -111,8 +89,7 @@ def padded(n: int, capacity: int) -> int:
 class Packer:
     """Packs the documents of one partition. Memory: a block and the document at hand."""
 
-    def __init__(self, part: int, capacity: int = WINDOW, block: int = BLOCK_TOKENS, level: bool = True):
-        self.level = level
+    def __init__(self, part: int, capacity: int = WINDOW, block: int = BLOCK_TOKENS):
         self.next_id, self.capacity, self.block = part << 33, capacity, max(block, 2 * capacity)
         self.waiting: list[tuple[int | None, int, bytes, int]] = []  # doc, start, ids, tokens of the document
         self.tokens = 0
@@ -130,31 +107,19 @@ class Packer:
             yield from self.flush(last=False)
 
     def flush(self, last: bool = True) -> Iterator[tuple]:
-        """Pack what waits: a whole number of windows by differencing; what lies behind waits on, and in the end makes
-        sequences of powers of two, which have no padding. Without levelling, the end is packed like all else."""
-        count = self.tokens // self.capacity
-        take = count * self.capacity if self.level or not last else self.tokens
+        """Pack whole pieces that wait into windows by differencing, as many as fill them but for a spare part; others wait
+        on. In the end what is left, about a window, is cut into sequences of powers of two, which have no padding."""
+        room = self.tokens // self.capacity * (self.capacity - self.capacity // SPARE)
         head, rest, used = [], [], 0
-        for doc, start, ids, total in self.waiting:
-            n = len(ids) // 4
-            here = min(n, max(0, take - used))
-            if not self.level and here < n:
-                here = 0  # whole pieces only
-            if here:
-                head.append((doc, start, ids[: 4 * here], total))
-            if here < n:
-                rest.append((doc, start + here, ids[4 * here :], total))
-            used += n
-        self.waiting, self.tokens = rest, sum(len(x[2]) // 4 for x in rest)
+        for piece in self.waiting:
+            n = len(piece[2]) // 4
+            fits = used + n <= room
+            (head if fits else rest).append(piece)
+            used += n * fits
+        self.waiting, self.tokens = rest, self.tokens - used
         if head:
-            sizes = np.array([len(x[2]) // 4 for x in head], np.int64)
-            if self.level:
-                found = [[head[i] for i in x] for x in difference(sizes, count)]
-                for own in levelled(found, self.capacity):
-                    yield from self._sequence(own)
-            else:
-                for members in windows(sizes, self.capacity):
-                    yield from self._sequence([head[i] for i in members])
+            for members in windows(np.array([len(x[2]) // 4 for x in head], np.int64), self.capacity):
+                yield from self._sequence([head[i] for i in members])
         if last:
             yield from self._exact()
 
@@ -184,11 +149,11 @@ class Packer:
             at += n
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = WINDOW, end: int = END, level: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = WINDOW, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack all texts into sequences of at most capacity tokens; one row per piece of a document.
 
-    level: windows of the differencing are cut to exactly capacity, the excess of some filling others, so that nothing
-    is padded; else pieces stay whole and the number of windows rises whenever the fullest exceeds the capacity.
+    Documents longer than capacity give full windows and a rest; rests and shorter documents stay whole, and the number
+    of windows rises whenever the fullest exceeds the capacity. Only what a partition has left in the end is cut.
     Blocks are packed where their documents are read: nothing is shuffled, and a lost task is simply run again.
     Null or empty texts are a document of the end id alone. Repeated rows are packed each; a null id stays null.
     An empty table gives no rows. Other columns are ignored. sequence_id is unique over the table.
@@ -206,7 +171,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = WINDOW,
         for b in batches:
             if not b.num_rows:
                 continue
-            packer = packer or Packer(b.column(2)[0].as_py(), capacity, level=level)
+            packer = packer or Packer(b.column(2)[0].as_py(), capacity)
             rows = [r for doc, ids in zip(b.column(0).to_pylist(), coder.encode(b.column(1).to_pylist(), end), strict=True) for r in packer.add(doc, ids)]
             yield batch(rows)
         if packer:
