@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import id_and_text, shuffle_partitions, tune
+from ._common import id_and_text, partitions_for, tune
 from .tokens import END, default_tokenizer, tokenizer_for
 
 MAGIC, BITS, RANK_BITS = b"DAC1", 8, 512
@@ -106,9 +106,11 @@ class Segment:
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = END, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> None:
     """Encode all texts, in ascending id order, into segments under path (Parquet files with a binary column, so any
-    store that Spark writes will do). Texts are range-partitioned by id once; shards are sorted and encoded one by one.
+    store that Spark writes will do). Texts are range-partitioned once, into more shards the larger the input; shards are
+    sorted and encoded one by one.
 
-    Null texts are empty: the end id alone. Null ids come first. Rows of equal ids follow each other in no set order.
+    Null texts are empty: the end id alone. Null ids come first. Rows of equal ids are in the order of their texts' hash,
+    then of their texts, and may lie in several shards.
     An empty table writes files without rows. Other columns are ignored.
     """
     spark = docs.sparkSession
@@ -140,7 +142,8 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = E
         if waiting:
             yield close()
 
-    ordered = id_and_text(docs, id_col, text_col).repartitionByRange(shards or shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id")
+    order = ["doc_id", F.xxhash64("text")]
+    ordered = id_and_text(docs, id_col, text_col).repartitionByRange(shards or partitions_for(docs), *order).sortWithinPartitions(*order, "text")
     ordered.select("doc_id", "text", F.spark_partition_id().cast("long").alias("shard")).mapInArrow(run, SEGMENTS).write.parquet(path)
 
 
