@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import id_and_text, partitions_for, tune, window_hashes, word_hashes
+from ._common import id_and_text, mixed, partitions_for, tune, window_hashes, word_hashes
 
 MIN_WORDS = 13
 #: Perfect difference covers: fixed values. Any two residues, shifted alike by less than the period, both fall in the set.
@@ -60,6 +60,11 @@ def _groups(h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return h, ids, np.repeat(np.minimum.reduceat(ids, starts), runs), np.repeat(np.maximum.reduceat(ids, starts), runs)
 
 
+def _part(ids: np.ndarray, n_parts: int) -> np.ndarray:
+    """The part to which a document's answers go, by a hash: ids may come in strides."""
+    return (mixed(ids.view(np.uint64)) % np.uint64(n_parts)).astype(np.int64)
+
+
 def _pack(h: np.ndarray, size: int) -> bytes:
     """The low size bytes of each hash."""
     return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
@@ -103,7 +108,7 @@ def _answers(rows: DataFrame, hashes: Callable, n_parts: int, later_only: bool,
             h, who, low, high = _groups(np.concatenate(held), np.concatenate(ids))
             ask = who == low
             known = who > low if later_only else low != high
-            return _batch([*_blobs(((h[ask] >> np.uint64(24)) % np.uint64(n_parts)).astype(np.int64), who[ask], h[ask], False, size), *_blobs(who[known] % n_parts, who[known], h[known], True, size)])
+            return _batch([*_blobs(((h[ask] >> np.uint64(24)) % np.uint64(n_parts)).astype(np.int64), who[ask], h[ask], False, size), *_blobs(_part(who[known], n_parts), who[known], h[known], True, size)])
 
         for b in batches:
             more = b.column(2).to_pylist() if b.num_columns > 2 else [None] * b.num_rows
@@ -132,7 +137,7 @@ def _answers(rows: DataFrame, hashes: Callable, n_parts: int, later_only: bool,
         if asked:
             h, ids, low, high = _groups(np.concatenate([x[1] for x in asked]), np.concatenate([x[0] for x in asked]))
             on = ids > low if later_only else low != high
-            yield _batch(list(_blobs(ids[on] % n_parts, ids[on], h[on], True, size)))
+            yield _batch(list(_blobs(_part(ids[on], n_parts), ids[on], h[on], True, size)))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [opened(*x) for b in batches for x in zip(*(b.column(c).to_pylist() for c in (2, 3, 4)), strict=True)]
