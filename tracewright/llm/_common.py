@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-import weakref
 
 import numpy as np
 import xxhash
@@ -16,20 +15,26 @@ from pyspark.sql import functions as F
 ARROW_ROWS = 512
 #: Odd 64-bit multipliers of the window hashes.
 _MULTIPLIERS = np.random.default_rng(20240607).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_written: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local mode)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one, but only in
+    local mode: elsewhere the machines would not see each other's files."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
         named = sc.getCheckpointDir()
     return named.rstrip("/")
 
 
-def _forget(spark: SparkSession, path: str) -> None:
+_folders: list[tuple[SparkSession, str]] = []
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if its session still runs."""
     try:
         jvm = spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
@@ -38,15 +43,28 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass
 
 
+def release() -> None:
+    """Delete all that was staged so far. To be called when the results that were made from it have been written; what
+    is left goes when Python ends."""
+    while _folders:
+        forget(*_folders.pop())
+
+
+atexit.register(release)
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which release() deletes."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _folders.append((spark, path))
+    return path
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df once in the shared folder and read it back: lineage is cut and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
-    schema = df.schema
+    path = folder(df.sparkSession, f"stage-{name}")
     df.write.parquet(path)
-    out = spark.read.schema(schema).parquet(path)
-    atexit.register(_forget, spark, path)
-    return out
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def tune(spark: SparkSession) -> None:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import attention_quality, context_mixing, dac, decontaminate, licenses, ngram_join, noisy_or_toxicity, oracles, packing, rules, substrings
-from ._common import shared_dir
+from ._common import folder
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +37,7 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    path = folder(spark, "token-files")
     dac.write(_documents(spark, sf_dir), path)
     return dac.digests(spark, path)
 
