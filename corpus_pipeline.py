@@ -3,17 +3,19 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
 of documents. A stage's decisions are those of its operator: rejected documents, all but one of a class of near
 duplicates, words that an earlier document has and documents with a benchmark item go.
+
+In every stage a null text counts as empty, other columns than those of documents are ignored, whatever their names, and
+an empty table gives no rows. Repeated rows and rows of one id are judged each by all stages but the second, which keeps
+one row of each class, and the third, in which rows of one id are one document. A null id is kept as it is.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm import attention_quality, decontaminate, ngram_join, packing, substrings
-from tracewright.llm._common import shared_dir
+from tracewright.llm._common import folder, forget
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -26,10 +28,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each class; of equal ids one. Five words and a similarity of 0.8."""
-    classes = ngram_join.similarity_classes(docs, width=5, threshold=(4, 5))
-    first = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+    """One row of each class of texts that link: five words and a similarity of 0.8."""
+    return ngram_join.first_of_classes(docs.select(*COLUMNS), width=5, threshold=(4, 5))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +40,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
+    """Documents without a benchmark item. Rows of one id go together."""
     found = decontaminate.find_contained(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     bad = found.select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti").select(*COLUMNS)
+    return docs.select(*COLUMNS).join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,10 +58,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each keeps is written in the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over documents; what each keeps is written in the shared folder and read again, and goes when the next
+    stage has written its own."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        path = folder(spark, f"pipeline-{name.replace(' ', '-')}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            forget(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
