@@ -329,13 +329,80 @@ def test_model_is_a_probability():
 def test_model_grows_with_the_corpus():
     """Slots and coded words grow with the tokens, and a context never takes another's counts for its own."""
     small, large = context_mixing.grown(1000), context_mixing.grown(100_000_000)
-    assert small == (1 << 16, 1 << 19, 1 << 22) and large[2] >= 100_000_000 and large[0] > small[0] and large[1] >= large[0]
+    assert small == (1 << 16, 1 << 19, 1 << 22) and large[2] >= 4 * small[2] and large[0] > small[0] and large[1] >= large[0]
+    assert context_mixing.grown(10**13)[2] == context_mixing.MOST_SLOTS
+    counts = np.array([0, 63, 64, 1000, 10**9, 10**13])
+    assert (abs(context_mixing._LEVELS[context_mixing.quantised(counts)] - counts) <= 0.2 * counts).all()
     check = context_mixing.CHECK
     keys = np.array([2 * (5 << check | 3), 2 * (5 << check | 3) + 1, 2 * (5 << check | 9) + 1, 2 * (5 << check | 3) + 1])
     table = context_mixing.settled(keys, np.array([2, 3, 4, 1]))
     assert context_mixing.known(table, np.array([5 << check | 3, 5 << check | 9, 6 << check | 3])).tolist() == [2 * 256 + 4, 0, 0]
 
 
+def test_scores_agree_with_a_model_of_single_bits(spark, docs, corpus):
+    """A slow twin: one bit after the other, plain numbers, dictionaries for what a text has spelled."""
+    cm = context_mixing
+    texts = [(i, (r[1] or "").encode(), i % 5 == 0) for i, r in enumerate(corpus)]
+    df = spark.createDataFrame(texts, "doc_id long, text binary, held_out boolean").repartition(2)
+    counts = cm.token_counts(df)
+    n = counts.agg({"c": "sum"}).first()[0]
+    model = cm.train(df, counts, n)
+    voc, (t1, t2), w = model.vocabulary, model.tables, model.mixer.w.astype(float)
+
+    def slot(table, place):
+        x = int(table[int(place) >> cm.CHECK])
+        return (x >> 8 & 255, x & 255) if x >> 16 == int(place) & (1 << cm.CHECK) - 1 else (0, 0)
+
+    def bits(ev, k, delta):
+        _, bit, s0, i1, i2, kind = ev
+        found = [slot(t, i[k]) for t, i in ((t1, i1), (t2, i2))]
+        s = [float(s0[k])] + [math.log((cm._LEVELS[b] + 0.3) / (cm._LEVELS[a] + 0.3)) for a, b in found]
+        sure = [sum(cm._LEVELS[a] + cm._LEVELS[b] >= x for x in (0.5, 2.5, 12.5)) for a, b in found]
+        z = sum((x + d) * y for x, d, y in zip(w[kind * 16 + 4 * sure[0] + sure[1]], delta, s, strict=True))
+        return math.log1p(math.exp(-z if bit[k] else z)), [(bit[k] - 1 / (1 + math.exp(-z))) * x for x in s]
+
+    def spelled(word):
+        ev = voc.spelling([word])
+        p = math.exp(-sum(bits(ev, k, (0, 0, 0))[0] for k in range(len(ev[1]))))
+        return -math.log(voc.new_share * p + (1 - voc.new_share) * voc.count(word) / voc.spelled_total)
+
+    for _, text, _ in texts[:12] + texts[-5:]:
+        words, places = cm.split(text), voc.places(cm.split(text))
+        ids, contexts, delta, cost = voc.symbols(places), voc.contexts(places), [0.0] * 3, 0.0
+        for lo, hi in cm.blocks(len(ids)):
+            ev, g = voc.events([ids], [contexts], lo, hi), [0.0] * 3
+            for k in range(len(ev[1])):
+                c, own = bits(ev, k, delta)
+                cost += c
+                g = [a + b for a, b in zip(g, own, strict=True)]
+            delta = [d + cm.RATE * min(200, max(-200, x)) for d, x in zip(delta, g, strict=True)]
+        before = []
+        for word, i in zip([*words, cm.END], ids, strict=True):
+            if i == voc.escape:
+                p = math.exp(-spelled(word))
+                if before:
+                    share = (sum(x in before[:k] for k, x in enumerate(before)) + 0.5) / (len(before) + 5)
+                    p = (1 - share) * p + share * before.count(word) / len(before)
+                cost -= math.log(p)
+                before.append(word)
+        assert abs(model.score([words])[0] + cost / math.log(10)) < 0.002 * max(10, cost)
+
+
+def test_held_out_texts_are_likelier_than_by_the_base(spark):
+    """Texts of a language of word pairs, held out: the model knows what follows what."""
+    rng = random.Random(12)
+    pool = [f"w{i}" for i in range(300)]
+    after = {x: [rng.choice(pool) for _ in range(3)] for x in pool}
+    rows = []
+    for i in range(600):
+        w = [rng.choice(pool)]
+        while len(w) < 80:
+            w.append(rng.choice(after[w[-1]]) if rng.random() < 0.9 else rng.choice(pool))
+        rows.append((i, " ".join(w)))
+    held = [r for r in context_mixing.score(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["held_out"]]
+    assert held and np.mean([r["score"] > r["base_score"] for r in held]) >= 0.9
+
+
 def test_tables_count_every_context(spark, tmp_path):
     """Counts by context, summed over tasks, are those of the bits themselves."""
     texts = [b"aa bb cc aa bb dd", b"bb cc aa", b"dd dd aa bb"]
