@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.plans import activity, events, relational, representations, sequences  # noqa: F401  they register themselves
+from tracewright.plans import activity, codework, events, knowledge, relational, representations, sequences  # noqa: F401  they register themselves
 from tracewright.plans.registry import ORACLES, QUERIES
 
 

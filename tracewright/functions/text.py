@@ -19,47 +19,43 @@ PII = (
     (r"\b\d{3}-\d{2}-\d{4}\b", "[SSN]"),
     (r"\b\d{4}[\s-]?\d{4}[\s-]?\d{4}[\s-]?\d{4}\b", "[CREDIT_CARD]"),
 )
-STRING_LITERALS = ('"[^"]*"', "'[^']*'", "`[^`]*`")
+STRING_LITERALS = (('"[^"]*"', '"[STR]"'), ("'[^']*'", "'[STR]'"), ("`[^`]*`", "`[STR]`"))
 
 # Words by which a text shows an intent, in the order of the labels.
 INTENT_WORDS = {
-    "INTENT_DEBUG": "fix error bug debug broken issue problem wrong crash exception",
-    "INTENT_FEATURE": "add create implement new build make feature functionality",
-    "INTENT_REFACTOR": "refactor clean improve optimize restructure reorganize simplify",
-    "INTENT_TEST": "test verify check validate ensure assert spec",
-    "INTENT_DOCUMENT": "document comment explain describe docstring readme docs",
-    "INTENT_EXPLAIN": "review explain understand what how why analyze inspect",
-    "INTENT_NAVIGATE": "browse explore find search look navigate goto",
-    "INTENT_CONFIGURE": "config setup install configure settings preferences",
-    "INTENT_DEPLOY": "deploy release publish ship production staging",
-    "INTENT_REVIEW": "review|pr|pull request|code review|feedback",
+    "INTENT_DEBUG": ("fix", "error", "bug", "debug", "broken", "issue", "problem", "wrong", "crash", "exception"),
+    "INTENT_FEATURE": ("add", "create", "implement", "new", "build", "make", "feature", "functionality"),
+    "INTENT_REFACTOR": ("refactor", "clean", "improve", "optimize", "restructure", "reorganize", "simplify"),
+    "INTENT_TEST": ("test", "verify", "check", "validate", "ensure", "assert", "spec"),
+    "INTENT_DOCUMENT": ("document", "comment", "explain", "describe", "docstring", "readme", "docs"),
+    "INTENT_EXPLAIN": ("review", "explain", "understand", "what", "how", "why", "analyze", "inspect"),
+    "INTENT_NAVIGATE": ("browse", "explore", "find", "search", "look", "navigate", "goto"),
+    "INTENT_CONFIGURE": ("config", "setup", "install", "configure", "settings", "preferences"),
+    "INTENT_DEPLOY": ("deploy", "release", "publish", "ship", "production", "staging"),
+    "INTENT_REVIEW": ("review", "pr", "pull request", "code review", "feedback"),
 }
 # The single best intent of a prompt, by most words present; the first of equals.
 PROMPT_INTENTS = {
-    "data_visualization": "plot|chart|graph|visualize|matplotlib|seaborn",
-    "data_analysis": "analyze|analysis|data|dataset|pandas|numpy",
-    "code_implementation": "implement|create|build|write|function|class",
-    "debugging": "debug|error|bug|fix|issue|problem",
-    "optimization": "optimize|performance|speed|efficient|improve",
-    "documentation": "document|comment|explain|readme|docstring",
-    "testing": "test|testing|unit test|assert|verify",
-    "refactoring": "refactor|restructure|reorganize|clean up",
+    "data_visualization": ("plot", "chart", "graph", "visualize", "matplotlib", "seaborn"),
+    "data_analysis": ("analyze", "analysis", "data", "dataset", "pandas", "numpy"),
+    "code_implementation": ("implement", "create", "build", "write", "function", "class"),
+    "debugging": ("debug", "error", "bug", "fix", "issue", "problem"),
+    "optimization": ("optimize", "performance", "speed", "efficient", "improve"),
+    "documentation": ("document", "comment", "explain", "readme", "docstring"),
+    "testing": ("test", "testing", "unit test", "assert", "verify"),
+    "refactoring": ("refactor", "restructure", "reorganize", "clean up"),
 }
 FILE_TYPES = {".js": "javascript", ".ts": "typescript", ".py": "python", ".rs": "rust", ".go": "go"}
 
 
-def _words(text: str) -> list[str]:
-    return text.split("|") if "|" in text else text.split()
-
-
 def redact(text: Column) -> Column:
     """Nine masks, one after the other."""
     return reduce(lambda c, m: F.regexp_replace(c, *map(F.lit, m)), PII, text)
 
 
 def redact_code(code: Column) -> Column:
-    """Masks, then string literals as [STR]."""
-    return reduce(lambda c, p: F.regexp_replace(c, p, "[STR]"), STRING_LITERALS, redact(code))
+    """Masks, then [STR] within the quotes of each string literal."""
+    return reduce(lambda c, p: F.regexp_replace(c, *map(F.lit, p)), STRING_LITERALS, redact(code))
 
 
 def sanitize_prompt(text: Column) -> Column:
@@ -82,7 +78,7 @@ def intents(text: Column) -> Column:
     """All labels of which a word occurs in the text, or INTENT_OTHER alone."""
 
     def labels(low: Column) -> Column:
-        found = F.array_compact(F.array(*(F.when(reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in _words(words))), F.lit(label)) for label, words in INTENT_WORDS.items())))
+        found = F.array_compact(F.array(*(F.when(reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in words)), F.lit(label)) for label, words in INTENT_WORDS.items())))
         return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("INTENT_OTHER")))
 
     return _lowered(text, labels)
@@ -92,7 +88,7 @@ def prompt_intent(text: Column) -> Column:
     """The label of most words present, the first of equals; general if there is none."""
 
     def label(low: Column) -> Column:
-        scores = F.array(*(F.struct(reduce(lambda a, b: a + b, (F.contains(low, F.lit(w)).cast("int") for w in _words(words))).alias("n"), F.lit(-i).alias("order"), F.lit(name).alias("label")) for i, (name, words) in enumerate(PROMPT_INTENTS.items())))
+        scores = F.array(*(F.struct(reduce(lambda a, b: a + b, (F.contains(low, F.lit(w)).cast("int") for w in words)).alias("n"), F.lit(-i).alias("order"), F.lit(name).alias("label")) for i, (name, words) in enumerate(PROMPT_INTENTS.items())))
         best = F.array_max(scores)
         return F.when(best["n"] > 0, best["label"]).otherwise("general")
 

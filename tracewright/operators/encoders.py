@@ -44,16 +44,59 @@ def call_graph(codes: DataFrame) -> DataFrame:
     return caller.groupBy("source", F.col("callee").alias("target")).agg(F.count("*").alias("weight"))
 
 
-def import_edges(codes: DataFrame, files: DataFrame) -> DataFrame:
-    """source, target: imports resolved against the known files. An import is taken from the importing file's folder or
-    the root, with the usual extensions tried in turn. codes: file_path, code; files: file_path."""
-    named = codes.select("file_path", F.explode(C.imports(F.col("code"))).alias("path"))
-    clean = F.regexp_replace(F.col("path"), r"^(\./)+", "")
-    bases = named.select("file_path", F.posexplode(F.array(F.concat_ws("/", F.nullif(X.dirname(F.col("file_path")), F.lit("")), clean), F.concat(F.lit("src/"), clean), clean)).alias("place", "base"))
-    tries = bases.select("file_path", "place", F.posexplode(F.array(*(F.concat("base", F.lit(e)) for e in ("", ".js", ".ts", ".jsx", ".tsx", ".json", ".py")))).alias("ext", "target"))
-    known = files.select(F.col("file_path").alias("target")).distinct()
-    hits = tries.join(known, "target").where("target <> file_path")
-    return hits.select(F.col("file_path").alias("source"), "target").distinct()
+def path_candidates(imports: DataFrame) -> DataFrame:
+    """file_path, path, target, place: paths that an import may lead to, in the order in which they are tried. A path with
+    a dot first is taken from the importing file's folder, others from the root. imports: file_path, path."""
+    folder = X.dirname(F.col("file_path"))
+    base = F.when(F.startswith(F.col("path"), F.lit(".")), C.normal_path(F.concat_ws("/", folder, "path"))).otherwise(F.col("path"))
+    tries = F.array(*(F.concat(base, F.lit(e)) for e in ("", *C.RESOLVED_SUFFIXES)))
+    return imports.select("file_path", "path").distinct().select("file_path", "path", F.posexplode(tries).alias("place", "target"))
+
+
+def resolved_imports(imports: DataFrame, known: DataFrame) -> DataFrame:
+    """file_path, path, target: the first candidate that is a known file; imports that lead to none are left out."""
+    hits = path_candidates(imports).join(known.select(F.col("file_path").alias("target")).distinct(), "target", "left_semi")
+    return hits.groupBy("file_path", "path").agg(F.min_by("target", "place").alias("target"))
+
+
+def fallback_imports(imports: DataFrame, known: DataFrame) -> DataFrame:
+    """As resolved_imports(), without the extension that a path has, packages beside the importing file's folder, and the
+    path as it is where no file is found."""
+    bare = imports.select("file_path", F.regexp_replace("path", r"\.(js|ts|jsx|tsx|py)$", "").alias("path")).distinct()
+    up = F.when(F.startswith(F.col("path"), F.lit(".")), F.col("path")).otherwise(F.concat(F.lit("../"), "path"))
+    placed = bare.withColumn("base", C.normal_path(F.concat_ws("/", X.dirname(F.col("file_path")), up)))
+    tries = placed.select("file_path", "path", "base", F.posexplode(F.array(*(F.concat("base", F.lit(e)) for e in (".js", ".ts", ".jsx", ".tsx", ".py", ".json")))).alias("place", "target"))
+    hits = tries.join(known.select(F.col("file_path").alias("target")).distinct(), "target", "left_semi").groupBy("file_path", "path").agg(F.min_by("target", "place").alias("target"))
+    return placed.join(hits, ["file_path", "path"], "left").select("file_path", "path", F.coalesce("target", "base").alias("target"))
+
+
+def import_edges(imports: DataFrame, known: DataFrame) -> DataFrame:
+    """source, target: files and the known files that they import."""
+    found = resolved_imports(imports, known).where("target <> file_path")
+    return found.select(F.col("file_path").alias("source"), "target").distinct()
+
+
+def syntax_diff(pairs: DataFrame, key: str, before: str, after: str) -> DataFrame:
+    """key, operation, line, change (add, remove): nodes, by kind and line, that only one side has; a pair without any is
+    one MODIFY_STATEMENT."""
+
+    def nodes(column: str, side: str) -> DataFrame:
+        x = pairs.select(key, F.posexplode(F.split(F.coalesce(column, F.lit("")), "\n")).alias("at", "code"))
+        kind = X.line_kind(F.trim("code"))
+        return x.select(key, (F.col("at") + 1).cast("long").alias("line"), kind.alias("kind"), F.lit(True).alias(side)).where("kind IS NOT NULL")
+
+    both = nodes(before, "old").join(nodes(after, "new"), [key, "line", "kind"], "full_outer").where("old IS NULL OR new IS NULL")
+    op, added = C.operation(F.col("kind")), F.col("old").isNull()
+    ops = both.select(key, F.when(added, op).otherwise(F.replace(op, F.lit("ADD_"), F.lit("REMOVE_"))).alias("operation"), "line", F.when(added, "add").otherwise("remove").alias("change"))
+    same = pairs.select(key).join(ops.select(key).distinct(), key, "left_anti")
+    return ops.unionByName(same.select(key, F.lit("MODIFY_STATEMENT").alias("operation"), F.lit(1).cast("long").alias("line"), F.lit("modify").alias("change")))
+
+
+def file_edits(events: DataFrame) -> DataFrame:
+    """session_id, event_id, at (microseconds, 0 without a time), path of every event that names a file."""
+    from tracewright.functions.time import micros
+
+    return events.where("file_path IS NOT NULL").select("session_id", "event_id", F.coalesce(micros("ts"), F.lit(0)).alias("at"), F.col("file_path").alias("path"))
 
 
 def abstracted(entries: DataFrame, level: int) -> DataFrame:
@@ -74,14 +117,17 @@ def first_stems(events: DataFrame) -> DataFrame:
     return first.select("session_id", F.row_number().over(Window.partitionBy("session_id").orderBy("at")).alias("rank"), "stem")
 
 
-def file_edit_graph(edits: DataFrame, width: int = 300) -> DataFrame:
-    """session_id, source, target, weight: for each edit the first later edit of another file in its session, if it comes
-    within width seconds."""
+def edit_pairs(edits: DataFrame, width: int = 300) -> DataFrame:
+    """edits with target: for each the first later edit of another file in its session, if it comes within width seconds."""
     from tracewright.functions.time import micros
 
     w = Window.partitionBy("session_id").orderBy("ts", "event_id")
     # runs of one file: the first edit after a run is the next file's, whatever edit of the run asks
     run = edits.withColumn("new", (~F.col("file_path").eqNullSafe(F.lag("file_path").over(w))).cast("int")).withColumn("run", F.sum("new").over(w))
     heads = run.where("new = 1").select("session_id", (F.col("run") - 1).alias("run"), F.col("file_path").alias("target"), F.col("ts").alias("t_ts"))
-    pairs = run.join(heads, ["session_id", "run"]).where(micros("t_ts") - micros("ts") <= width * 1_000_000)
-    return pairs.groupBy("session_id", F.col("file_path").alias("source"), "target").agg(F.count("*").alias("weight"))
+    return run.join(heads, ["session_id", "run"]).where(micros("t_ts") - micros("ts") <= width * 1_000_000)
+
+
+def file_edit_graph(edits: DataFrame, width: int = 300) -> DataFrame:
+    """session_id, source, target, weight: how often edit_pairs() links two files."""
+    return edit_pairs(edits, width).groupBy("session_id", F.col("file_path").alias("source"), "target").agg(F.count("*").alias("weight"))

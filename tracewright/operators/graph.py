@@ -13,6 +13,8 @@ def _kept(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="graph-"))
@@ -195,3 +197,17 @@ def hubs(deg: DataFrame, above: int = 5, most: int = 10) -> DataFrame:
 
 def first_in_order(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_rn = 1").drop("_rn")
+
+
+def compared(old: DataFrame, new: DataFrame) -> DataFrame:
+    """source, target, changed: names of the properties, joined by commas, in which edges of the same ends differ."""
+    values = [c for c in old.columns if c not in ("source", "target")]
+    both = old.select("source", "target", *(F.col(c).alias(f"o_{c}") for c in values)).join(new, ["source", "target"])
+    return both.select("source", "target", F.concat_ws(",", *(F.when(~F.col(c).eqNullSafe(F.col(f"o_{c}")), F.lit(c)) for c in values)).alias("changed"))
+
+
+def context_edges(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """source, target, weight: pairs both of whose files are known (file_path), counted."""
+    ids = known.select(F.col("file_path").alias("known")).distinct()
+    inside = pairs.join(ids, F.col("source") == F.col("known"), "left_semi").join(ids, F.col("target") == F.col("known"), "left_semi")
+    return inside.groupBy("source", "target").agg(F.count("*").alias("weight"))

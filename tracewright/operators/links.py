@@ -51,9 +51,15 @@ def nearest(prompts: DataFrame, entries: DataFrame, width: int = 300) -> DataFra
     return near.groupBy("prompt_id").agg(F.min_by("entry_id", F.struct(F.abs(micros("p_ts") - micros("e_ts")), "entry_id")).alias("entry_id"))
 
 
-def claim_once(entries: DataFrame, prompts: DataFrame, width: int = 300) -> DataFrame:
-    """As latest_before, but each prompt serves one entry: a fold in time order within each workspace."""
-    both = entries.select("workspace_path", "ts", F.col("entry_id").alias("id"), F.lit(1).alias("kind")).unionByName(prompts.select("workspace_path", "ts", F.col("prompt_id").alias("id"), F.lit(0).alias("kind")))
+def claim_once(entries: DataFrame, prompts: DataFrame, width: int = 300, by: str | None = None) -> DataFrame:
+    """As latest_before, but each prompt serves one entry: a fold in time order, over all rows or within each value of by.
+
+    A prompt waits for width seconds, so rows before and after a longer pause have nothing to do with each other: each
+    stretch between such pauses is a fold of its own."""
+    from tracewright.operators.sessions import temporal_chunks
+
+    own = F.col(by) if by else F.lit("")
+    both = entries.select(own.alias("scope"), "ts", F.col("entry_id").alias("id"), F.lit(1).alias("kind")).unionByName(prompts.select(own.alias("scope"), "ts", F.col("prompt_id").alias("id"), F.lit(0).alias("kind")))
 
     def fold(rows):
         import pandas as pd
@@ -68,7 +74,7 @@ def claim_once(entries: DataFrame, prompts: DataFrame, width: int = 300) -> Data
                     out.append((r.id, pending.pop()[1]))
         return pd.DataFrame(out, columns=["entry_id", "prompt_id"]).astype("int64")
 
-    return both.groupBy("workspace_path").applyInPandas(fold, "entry_id long, prompt_id long")
+    return temporal_chunks(both, width).groupBy("scope", "chunk_id").applyInPandas(fold, "entry_id long, prompt_id long")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, how: str = "overwrite") -> DataFrame:
@@ -100,3 +106,16 @@ def change_sets(before: DataFrame, after: DataFrame, key: str, value: str) -> Da
     both = b.join(a, F.col("b_key") == F.col("a_key"), "full_outer")
     change = F.when(F.col("b_key").isNull(), F.lit("added")).when(F.col("a_key").isNull(), F.lit("removed")).when(F.col("a").eqNullSafe(F.col("b")), F.lit("unchanged")).otherwise(F.lit("modified"))
     return both.select(F.coalesce("b_key", "a_key").alias(key), change.alias("change"))
+
+
+def filtered(rows: DataFrame, equal: dict[str, str | None] | None = None, since: str | None = None, until: str | None = None, ts: str = "ts") -> DataFrame:
+    """Rows whose columns equal what is asked (None: anything) and whose time lies in the closed range asked."""
+    for column, value in (equal or {}).items():
+        if value is not None:
+            rows = rows.where(F.col(column) == value)
+    kind = dict(rows.dtypes).get(ts, "timestamp")
+    for bound, below in ((since, False), (until, True)):
+        if bound is not None:
+            at = F.lit(bound).cast(kind)
+            rows = rows.where(F.col(ts) <= at if below else F.col(ts) >= at)
+    return rows

@@ -80,11 +80,15 @@ def repeated_grams(seq: DataFrame) -> DataFrame:
     return two.unionByName(three).groupBy("session_id", "motif").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq")).where("n >= 2")
 
 
+def motif_hash(pattern: Column) -> Column:
+    return F.concat(F.lit("M_"), F.substring(F.sha1(pattern), 1, 10))
+
+
 def motif_ids(motifs: DataFrame, cap: int = 300) -> DataFrame:
     """session_id, rank, motif id, pattern: each pattern once in order of place, at most cap a session."""
     first = motifs.groupBy("session_id", "pattern").agg(F.min("place").alias("place"))
     rank = F.row_number().over(Window.partitionBy("session_id").orderBy("place", "pattern"))
-    return first.withColumn("rank", rank).where(f"rank <= {cap}").select("session_id", "rank", F.concat(F.lit("M_"), F.substring(F.sha1("pattern"), 1, 10)).alias("motif"), "pattern")
+    return first.withColumn("rank", rank).where(f"rank <= {cap}").select("session_id", "rank", motif_hash(F.col("pattern")).alias("motif"), "pattern")
 
 
 def adjacent_edges(events: DataFrame, limit_seconds: int = 300, inclusive: bool = True) -> DataFrame:
@@ -101,22 +105,54 @@ def sequences(seq: DataFrame, least: int = 3, most: int = 50) -> DataFrame:
     return x.where(F.col("length").between(least, most))
 
 
-def state_boundaries(events: DataFrame, gap_seconds: int = 1800, least: int = 3, overlap: float = 0.3) -> DataFrame:
-    """session_id, state, n_events: a fold in time order. A group of least events or more ends at a long gap, another
-    workspace, or little overlap of the next event's file with the group's files."""
+# How specific an intent is; of two the more specific one names the group.
+SPECIFICITY = {"general": 0, "testing": 1, "optimization": 2, "refactor": 3, "bug-fix": 4, "feature": 4, "experiment": 5}
+
+
+def state_groups(events: DataFrame, gap_seconds: int = 1800, least: int = 3, overlap: float = 0.3) -> DataFrame:
+    """session_id, state, n_events, intent, started, ended, files: a fold in time order. A group of least events or more
+    ends before an event after a longer gap, of another intent than the group's, of another workspace, or whose file makes
+    up less than overlap of the group's files or is not among them; a last group of fewer events is no state.
+    events: session_id, event_id, ts, workspace_path, file_path, intent."""
 
     def fold(rows):
         import pandas as pd
 
-        state, group, files, last, out = 0, 0, set(), None, []
+        states, group, files, intent, last = [], [], set(), None, None
         for r in rows.sort_values(["ts", "event_id"]).itertuples():
-            far = last is not None and ((r.ts - last.ts).total_seconds() > gap_seconds or r.workspace_path != last.workspace_path or len(files & {r.file_path}) < overlap * len(files) * (len(files) > 3))
-            if far and group >= least:
-                out.append((r.session_id, state, group))
-                state, group, files = state + 1, 0, set()
-            group, last = group + 1, r
-            files.add(r.file_path)
-        out.append((last.session_id, state, group))
-        return pd.DataFrame(out, columns=["session_id", "state", "n_events"])
-
-    return events.select("session_id", "event_id", "ts", "workspace_path", "file_path").groupBy("session_id").applyInPandas(fold, "session_id string, state int, n_events int")
+            own = {r.file_path} if isinstance(r.file_path, str) else set()
+            ends = last is not None and (r.ts - last.ts).total_seconds() > gap_seconds
+            ends = ends or bool(intent and r.intent and intent != r.intent)
+            ends = ends or bool(files and own and len(files & own) < overlap * max(len(files), len(own)))
+            ends = ends or (last is not None and r.workspace_path != last.workspace_path)
+            if ends and len(group) >= least:
+                states.append((group, intent, files))
+                group, files, intent = [r], set(own), r.intent
+            else:
+                group.append(r)
+                files |= own
+                if r.intent and (not intent or SPECIFICITY.get(r.intent, 0) > SPECIFICITY.get(intent, 0)):
+                    intent = r.intent
+            last = r
+        if len(group) >= least:
+            states.append((group, intent, files))
+        out = [(g[0].session_id, k, len(g), i, g[0].ts, g[-1].ts, sorted(f)) for k, (g, i, f) in enumerate(states)]
+        return pd.DataFrame(out, columns=["session_id", "state", "n_events", "intent", "started", "ended", "files"])
+
+    kind = dict(events.dtypes)["ts"]
+    columns = events.select("session_id", "event_id", "ts", "workspace_path", "file_path", "intent")
+    return columns.groupBy("session_id").applyInPandas(fold, f"session_id string, state int, n_events int, intent string, started {kind}, ended {kind}, files array<string>")
+
+
+def state_boundaries(events: DataFrame, gap_seconds: int = 1800, least: int = 3, overlap: float = 0.3) -> DataFrame:
+    """session_id, state, n_events of state_groups()."""
+    return state_groups(events, gap_seconds, least, overlap).select("session_id", "state", "n_events")
+
+
+def motif_representation(events: DataFrame) -> DataFrame:
+    """session_id, motif: the hashes of repeated pairs and triples of symbols, and HOTSPOT_n of a file with more than five
+    events, each once."""
+    grams = repeated_grams(symbols(events))
+    mined = motif_ids(grams.select("session_id", F.col("motif").alias("pattern"), F.col("first_seq").alias("place"))).select("session_id", "motif")
+    most = events.groupBy("session_id", "file_path").agg(F.count("*").alias("n")).groupBy("session_id").agg(F.max("n").alias("n")).where("n > 5")
+    return mined.unionByName(most.select("session_id", F.concat(F.lit("HOTSPOT_"), F.col("n").cast("string")).alias("motif"))).distinct()

@@ -36,6 +36,14 @@ def assign(vectors: DataFrame, cents: DataFrame, key: str = "vec_id", vector: st
     return scored.select(key, best.alias("b")).select(key, (-F.col("b.neg")).alias("cluster"), "b.similarity")
 
 
+def ranked(vectors: DataFrame, cents: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
+    """key, cluster, rank, similarity: all centroids by their cosine, as few as labels and broadcast."""
+    flat = cents.select(F.struct(F.col(label).alias("l"), F.col("centroid").alias("c")).alias("s")).agg(F.collect_list("s").alias("all"))
+    scored = vectors.select(key, vector).crossJoin(F.broadcast(flat))  # one row
+    by = F.array_sort(F.transform("all", lambda s: F.struct((-F.round(cosine(F.col(vector), s["c"]), 9)).alias("far"), s["l"].alias("cluster"))))
+    return scored.select(key, F.posexplode(by).alias("at", "s")).select(key, "s.cluster", (F.col("at") + 1).alias("rank"), (-F.col("s.far")).alias("similarity"))
+
+
 def kmeans(vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", seed: int = 42) -> DataFrame:
     """key, cluster by k-means over standardised vectors."""
     from pyspark.ml.clustering import KMeans

@@ -219,11 +219,6 @@ def truncated_lists(t: Tables) -> DataFrame:
     return x.select("session_id", F.concat(F.array_join(F.slice("l", 1, 5), " | "), more).alias("listing"))
 
 
-@query("f05_code_redaction")
-def code_redaction(t: Tables) -> DataFrame:
-    return _codes(t).select("code_id", F.md5(X.redact_code(F.concat(F.lit("s = 'secret'\n"), "code"))).alias("masked"))
-
-
 @query("f13_content_keys", "SELECT count(DISTINCT md5(concat(file_path, lines_added))) AS n FROM entries")
 def content_keys(t: Tables) -> DataFrame:
     return t.entries.agg(F.countDistinct(F.md5(F.concat("file_path", F.col("lines_added").cast("string")))).alias("n"))
@@ -246,12 +241,6 @@ def change_styles(t: Tables) -> DataFrame:
     return t.entries.groupBy(C.change_style(F.col("lines_added"), F.col("lines_removed"), F.lit(0)).alias("style")).agg(F.count("*").alias("n"))
 
 
-@query("f62_similarity")
-def similarity(t: Tables) -> DataFrame:
-    a, b = (F.substring(F.coalesce(c, F.lit("")), 1, 60) for c in ("before_code", "after_code"))
-    return t.entries.select("entry_id", F.levenshtein(a, b).cast("long").alias("distance"))
-
-
 @query("f69_motif_categories", f"WITH {GRAMS} SELECT kind, count(*) AS n FROM (SELECT DISTINCT motif, CASE WHEN len(string_split(motif, '_EV')) > 3 THEN 'triple' ELSE 'pair' END AS kind FROM grams) x GROUP BY kind")
 def motif_categories(t: Tables) -> DataFrame:
     seq = sessions.symbols(t.ev)

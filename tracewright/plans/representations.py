@@ -86,11 +86,6 @@ def call_graph(t: Tables) -> DataFrame:
     return encoders.call_graph(_codes(t).select("code_id", "code"))
 
 
-@query("j18_import_edges")
-def import_edges(t: Tables) -> DataFrame:
-    return encoders.import_edges(_codes(t), t.ev.select("file_path"))
-
-
 @query("j20_tool_edges", r"SELECT path AS source, concat('TOOL_', word) AS target, count(*) AS weight FROM (SELECT split_part(command, ' ', 1) AS word, unnest(list_distinct(regexp_extract_all(command, '([\w./-]+\.[A-Za-z]{1,5})\b', 1))) AS path FROM terminal) x GROUP BY 1, 2")
 def tool_edges(t: Tables) -> DataFrame:
     x = t.terminal.select(F.split("command", " ")[0].alias("word"), F.explode(X.paths_in(F.col("command"))).alias("path"))
@@ -251,7 +246,11 @@ def file_metadata(t: Tables) -> DataFrame:
 
 def _scratch(t: Tables) -> str:
     sc = t.spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="trace-")
+    if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="trace-"))
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
 
 

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.functions import code as C
+from tracewright.functions import events as E
 from tracewright.functions import text as X
 from tracewright.operators import context, graph, sessions, vectors
 from tracewright.plans.registry import query
+from tracewright.sources import files
 from tracewright.sources.telemetry import Tables
 
 CHUNKS = """marked AS (SELECT event_id, ts, type, workspace_path, file_path, lines_added, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 300000000 THEN 1 ELSE 0 END AS new FROM ev WINDOW w AS (ORDER BY ts, event_id)),
@@ -89,9 +92,17 @@ def latest_content(t: Tables) -> DataFrame:
     return x.groupBy("file_path").agg(F.max_by(F.struct("entry_id", "after_code"), F.struct("ts", "entry_id")).alias("s")).select("file_path", "s.entry_id", F.left("s.after_code", F.lit(200000)).alias("content"))
 
 
+#: Notes that some events carry.
+NOTED = "SELECT *, CASE WHEN k % 7 = 0 THEN 'Fix a bug in auth' WHEN k % 11 = 0 THEN 'add feature' WHEN k % 13 = 0 THEN 'clean up src/ui/a.tsx' WHEN k % 17 = 0 THEN 'performance' END AS annotation FROM {ev} ev"
+
+
+def _noted(t: Tables) -> DataFrame:
+    return t.spark.sql(NOTED, ev=t.ev)
+
+
 @query("w12_state_boundaries")
 def state_boundaries(t: Tables) -> DataFrame:
-    return sessions.state_boundaries(t.ev)
+    return sessions.state_boundaries(_noted(t).withColumn("intent", E.event_intent(F.col("annotation"), F.col("file_path"))))
 
 
 @query("w13_turn_index", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS idx FROM conversations")
@@ -110,7 +121,7 @@ def _any(words: list[str]) -> str:
     return "(" + " OR ".join(f"contains(low, '{w}')" for w in words) + ")"
 
 
-INTENTS = ", ".join(f"CASE WHEN {_any(X._words(words))} THEN '{label}' END" for label, words in X.INTENT_WORDS.items())
+INTENTS = ", ".join(f"CASE WHEN {_any(words)} THEN '{label}' END" for label, words in X.INTENT_WORDS.items())
 
 
 @query("f34_intents", f"SELECT prompt_id, coalesce(nullif(concat_ws(',', {INTENTS}), ''), 'INTENT_OTHER') AS intents FROM (SELECT prompt_id, lower(text) AS low FROM prompts) x")
@@ -198,11 +209,10 @@ def _nodes(t: Tables) -> DataFrame:
     return t.ev.select(F.col("file_path").alias("id")).distinct()
 
 
-@query("g01_file_numbers", "SELECT file_path, concat('FILE_', lpad(cast(row_number() OVER (ORDER BY file_path) AS varchar), 3, '0')) AS file_id FROM (SELECT DISTINCT file_path FROM ev) x")
+@query("g01_file_numbers", "SELECT file_path, concat('FILE_', CASE WHEN n < 1000 THEN lpad(cast(n AS varchar), 3, '0') ELSE cast(n AS varchar) END) AS file_id FROM (SELECT file_path, row_number() OVER (ORDER BY file_path) AS n FROM (SELECT DISTINCT file_path FROM ev) x) y")
 def file_numbers(t: Tables) -> DataFrame:
-    # ids count over all files of a repository, one row each
-    rank = F.row_number().over(Window.orderBy("file_path"))
-    return t.ev.select("file_path").distinct().select("file_path", F.concat(F.lit("FILE_"), F.lpad(rank.cast("string"), 3, "0")).alias("file_id"))
+    ids = files.numbered(t.ev.select("file_path").distinct(), ["file_path"])
+    return ids.select("file_path", F.concat(F.lit("FILE_"), C.padded(F.col("n"))).alias("file_id"))
 
 
 @query("g02_directories", "SELECT dir, count(*) AS children, 1 + length(dir) - length(replace(dir, '/', '')) AS depth FROM (SELECT DISTINCT file_path, regexp_replace(file_path, '/?[^/]*$', '') AS dir FROM ev) x GROUP BY dir")
@@ -289,7 +299,10 @@ def graph_metrics(t: Tables) -> DataFrame:
     return both.select("n", "e", F.round(2.0 * F.col("e") / F.col("n"), 6).alias("avg_degree"), F.round(F.col("e") / (F.col("n") * (F.col("n") - 1) / 2), 6).alias("density"))
 
 
-@query("w19_context_changes")
+FILES_SEEN = "seen AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY ts, prompt_id) AS seq, [context_a, context_b] AS files FROM prompts), led AS (SELECT *, coalesce(lag(files) OVER (PARTITION BY session_id ORDER BY seq), []) AS before FROM seen)"
+
+
+@query("p09_context_changes", f"WITH {FILES_SEEN} SELECT session_id, seq, len(list_filter(list_distinct(files), lambda x: NOT list_contains(before, x))) AS n_added, len(list_filter(list_distinct(before), lambda x: NOT list_contains(files, x))) AS n_removed, len(list_filter(list_distinct(files), lambda x: list_contains(before, x))) AS n_kept, len(list_distinct(files)) - len(list_distinct(before)) AS net_change FROM led")
 def context_changes(t: Tables) -> DataFrame:
     seq = F.row_number().over(Window.partitionBy("session_id").orderBy("ts", "prompt_id"))
     return context.context_changes(t.prompts.select("session_id", seq.alias("seq"), F.array("context_a", "context_b").alias("files")))

@@ -44,6 +44,19 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).option("quoteAll", False).option("escape", '"').csv(path)
 
 
+def numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """df with n, from 1 in the order of distinct keys. Each of some ranges of keys is ranked on its own; a range starts
+    after as many rows as the ranges before it hold, which is one row each."""
+    from pyspark.sql import Window
+
+    ranged = df.withColumn("_r", F.substring(F.col(order[0]).cast("string"), 1, 8))
+    w = Window.partitionBy("_r").orderBy(*order)
+    sizes = df.groupBy(F.substring(F.col(order[0]).cast("string"), 1, 8).alias("_r")).agg(F.count("*").alias("_n"))
+    along = Window.orderBy("_r")
+    base = sizes.select("_r", (F.sum("_n").over(along) - F.col("_n")).alias("_base"))
+    return ranged.withColumn("n", F.row_number().over(w)).join(base, "_r").withColumn("n", F.col("n") + F.col("_base")).drop("_r", "_base")
+
+
 def split_positions(df: DataFrame, order: list[str], share: float = 0.9) -> tuple[DataFrame, DataFrame]:
     """The first share of the rows in an order, and the rest. Positions come from one count per range partition."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
