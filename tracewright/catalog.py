@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.plans import activity, codework, events, knowledge, relational, representations, sequences  # noqa: F401  they register themselves
+from tracewright.plans import activity, codework, events, knowledge, relational, representations, sequences, stores  # noqa: F401  they register themselves
+from tracewright.plans import checks  # noqa: F401, I001  after the queries that it checks
 from tracewright.plans.registry import ORACLES, QUERIES
 
 

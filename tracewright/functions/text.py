@@ -162,6 +162,12 @@ def paths_in(command: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(command, F.lit(r"([\w./-]+\.[A-Za-z]{1,5})\b"), F.lit(1)))
 
 
+def csv_cell(value: Column) -> Column:
+    """A value in a comma-separated file: line ends spelt out, quoted if it holds a quote or a comma; null is empty."""
+    flat = F.regexp_replace(F.coalesce(value.cast("string"), F.lit("")), r"\r?\n", r"\\n")
+    return F.when(flat.rlike('[",]'), F.concat(F.lit('"'), F.replace(flat, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(flat)
+
+
 # Kinds of a line of code, the first that fits.
 LINE_KINDS = (
     (r"^\s*if\s*\(|^\s*elif\s+|^\s*else\s*:", "IfStatement"),

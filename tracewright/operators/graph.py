@@ -211,3 +211,33 @@ def context_edges(pairs: DataFrame, known: DataFrame) -> DataFrame:
     ids = known.select(F.col("file_path").alias("known")).distinct()
     inside = pairs.join(ids, F.col("source") == F.col("known"), "left_semi").join(ids, F.col("target") == F.col("known"), "left_semi")
     return inside.groupBy("source", "target").agg(F.count("*").alias("weight"))
+
+
+def betweenness(nodes: DataFrame, edges: DataFrame, sample: int = 100) -> DataFrame:
+    """id, betweenness: of the directed shortest paths from each of the first nodes (by id) to each later one of them, on
+    how many a node lies in between. Between two nodes one path counts: nodes are reached in the order of their id, and a
+    node's way leads over the one that was reached first."""
+    first = nodes.select("id").distinct().orderBy("id").limit(sample)
+    step = _kept(edges.where("source <> target").select("source", "target").distinct())
+    none = F.array().cast("array<string>")
+    front = first.select(F.col("id").alias("start"), "id", F.array(F.lit("")).alias("order"), none.alias("between"))
+    seen, paths = _kept(front.select("start", "id")), None
+    front = _kept(front)
+    while not front.isEmpty():
+        way = F.when(F.col("id") == F.col("start"), F.col("between")).otherwise(F.concat("between", F.array("id")))
+        reached = front.join(step, front["id"] == step["source"]).select("start", F.col("target"), F.struct(F.concat("order", F.array("id")).alias("order"), way.alias("between")).alias("by"))
+        best = reached.groupBy("start", "target").agg(F.min("by").alias("by")).select("start", F.col("target").alias("id"), "by.order", "by.between")
+        front = _kept(best.join(seen, ["start", "id"], "left_anti"))
+        seen = _kept(seen.unionByName(front.select("start", "id")))
+        paths = front if paths is None else paths.unionByName(front)
+    inner = paths.where("id > start").join(first, "id", "left_semi").select(F.explode("between").alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    return nodes.select("id").distinct().join(inner, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("betweenness"))
+
+
+def detect_communities(nodes: DataFrame, edges: DataFrame, method: str = "louvain") -> DataFrame:
+    """id, community by the method asked for: louvain or components."""
+    if method == "components":
+        return components(nodes, edges).select("id", F.col("component").alias("community"))
+    if method == "louvain":
+        return louvain(nodes, edges)
+    raise ValueError(f"unknown method: {method}")

@@ -6,6 +6,8 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -56,14 +58,30 @@ def kmeans(vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embed
 
 
 def dtw(a: list[float], b: list[float]) -> float:
-    """Dynamic time warping distance of two series (root of the least sum of squares along a path)."""
-    prev = [0.0] + [math.inf] * len(b)
-    for x in a:
-        row = [math.inf]
-        for j, y in enumerate(b, 1):
-            row.append((x - y) ** 2 + min(prev[j], row[j - 1], prev[j - 1]))
-        prev = row
-    return math.sqrt(prev[-1])
+    """Dynamic time warping distance of two series (root of the least sum of squares along a path): the table's cells are
+    taken by falling diagonals, each at once."""
+    import numpy as np
+
+    x, y = np.asarray(a, float), np.asarray(b, float)
+    n, m = len(x), len(y)
+    if not n or not m:
+        return 0.0 if n == m else math.inf
+    back, last = np.full(n + 1, math.inf), np.full(n + 1, math.inf)  # by the place in a, from 1
+    back[0] = 0.0
+    for d in range(2, n + m + 1):
+        lo, hi = max(1, d - m), min(n, d - 1)
+        i = np.arange(lo, hi + 1)
+        now = np.full(n + 1, math.inf)
+        now[i] = (x[i - 1] - y[d - i - 1]) ** 2 + np.minimum(back[i - 1], np.minimum(last[i - 1], last[i]))
+        back, last = last, now
+    return math.sqrt(last[n])
+
+
+@pandas_udf(T.DoubleType())
+def dtw_distance(a, b):
+    import pandas as pd
+
+    return pd.Series([dtw(x, y) for x, y in zip(a, b, strict=True)])
 
 
 def _incomplete_beta(a: float, b: float, x: float) -> float:
@@ -100,3 +118,20 @@ def t_test(rows: DataFrame, group: str, value: str, control: str, treatment: str
     spread = F.sqrt(((F.col("n_c") - 1) * F.col("pop_c") + (F.col("n_t") - 1) * F.col("pop_t")) / df)
     gain = F.col("mean_t") - F.col("mean_c")
     return x.select("n_c", "n_t", F.round("mean_c", 4).alias("mean_c"), F.round("mean_t", 4).alias("mean_t"), F.round(100 * gain / F.col("mean_c"), 4).alias("change_pct"), F.round(gain / F.sqrt(pooled * (1 / F.col("n_c") + 1 / F.col("n_t"))), 4).alias("t"), df.alias("df"), F.round(gain / spread, 4).alias("cohens_d"))
+
+
+def cluster_sequences(events: DataFrame, k: int = 4, key: str = "session_id") -> DataFrame:
+    """key, cluster: sessions by the share of each type of event, types in the order of their names."""
+    names = sorted(r["type"] for r in events.select("type").distinct().collect())  # as few as there are types
+    shares = [F.avg((F.col("type") == n).cast("double")).alias(f"s{i}") for i, n in enumerate(names)]
+    per = events.groupBy(key).agg(*shares)
+    return kmeans(per.select(key, F.array(*(f"s{i}" for i in range(len(names)))).alias("v")), k, key, "v")
+
+
+def library(sequences: DataFrame, clusters: DataFrame, key: str = "session_id", least: int = 3) -> DataFrame:
+    """cluster, frequency, mean_length, representative: clusters of sequences of least members or more; the member whose
+    length is nearest to the mean stands for each."""
+    x = sequences.join(clusters, key)
+    per = x.groupBy("cluster").agg(F.count("*").alias("frequency"), F.avg("length").alias("mean")).where(f"frequency >= {least}")
+    near = x.join(per, "cluster").groupBy("cluster", "frequency", "mean").agg(F.min_by(key, F.struct(F.abs(F.col("length") - F.col("mean")), F.col(key))).alias("representative"))
+    return near.select("cluster", "frequency", F.round("mean", 4).alias("mean_length"), "representative")

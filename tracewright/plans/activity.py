@@ -311,11 +311,11 @@ def stored_call_graph(t: Tables) -> DataFrame:
     return encoders.call_graph(_codes(t).select("code_id", "code")).select("source", "target").distinct()
 
 
-@query("v03_vectors", "SELECT event_id, 773 AS n, 1.0::double AS total FROM ev")
+@query("v03_vectors")
 def event_vectors(t: Tables) -> DataFrame:
     names = ["code_change", "entry_created", "file_open", "prompt", "terminal_command"]
     v = F.concat(vectors.one_hot(F.col("type"), names), F.array_repeat(F.lit(0.0), 768))
-    return t.ev.select("event_id", F.size(v).alias("n"), F.aggregate(v, F.lit(0.0), lambda s, x: s + x).alias("total"))
+    return t.ev.select("event_id", F.size(v).alias("n"), (F.array_position(v, F.lit(1.0)) - 1).alias("hot"), F.aggregate(v, F.lit(0.0), lambda s, x: s + x).alias("total"))
 
 
 @query("v04_sequence_metadata", "SELECT session_id, count(*) AS length, min(ts) AS started, max(ts) AS ended, arg_min(workspace_path, (ts, event_id)) AS workspace FROM ev GROUP BY session_id")
@@ -330,11 +330,11 @@ def taxonomy(t: Tables) -> DataFrame:
     return e.groupBy("label").agg(F.count("*").alias("size")).join(cents, "label").select(F.col("label").alias("cluster_id"), "size")
 
 
-@query("v15_stored_taxonomy", "SELECT label, 64 AS dims FROM embeddings GROUP BY label")
+@query("v15_stored_taxonomy")
 def stored_taxonomy(t: Tables) -> DataFrame:
     path = f"{_scratch(t)}.parquet"
     vectors.centroids(t.raw("embeddings")).write.parquet(path)
-    return t.spark.read.parquet(path).select("label", F.size("centroid").alias("dims"))
+    return t.spark.read.parquet(path).select("label", F.posexplode("centroid").alias("dim", "m")).withColumn("m", F.round("m", 9))
 
 
 @query("t03_stream_file_changes")

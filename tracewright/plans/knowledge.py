@@ -176,10 +176,12 @@ def prompt_contexts(t: Tables) -> DataFrame:
     return _given(t).select("prompt_id", F.size(files).cast("long").alias("n_context"), F.size(F.array_distinct(files)).cast("long").alias("n_distinct"), (F.col("mode_id") > 1).alias("has_codebase"))
 
 
-@query("j19_model_context_edges", "SELECT context_b AS source, context_a AS target, count(*) AS weight FROM prompts WHERE context_a IN (SELECT file_path FROM ev) AND context_b IN (SELECT file_path FROM ev) GROUP BY 1, 2")
+@query("j19_model_context_edges", "SELECT p.context_a AS source, e.file_path AS target, count(*) AS weight FROM prompts p JOIN entries e ON e.prompt_id = p.prompt_id WHERE p.context_a IN (SELECT file_path FROM ev) GROUP BY 1, 2")
 def model_context_edges(t: Tables) -> DataFrame:
-    """Files in the context of a target, for known files only."""
-    return graph.context_edges(t.prompts.select(F.col("context_a").alias("target"), F.col("context_b").alias("source")), t.ev.select("file_path"))
+    """Files in the context of a changed file, for known files only."""
+    p = t.prompts.select("prompt_id", F.col("context_a").alias("source"))
+    pairs = t.entries.select("prompt_id", F.col("file_path").alias("target")).join(p, "prompt_id").drop("prompt_id")
+    return graph.context_edges(pairs, t.ev.select("file_path"))
 
 
 @query("v18_ranked_clusters", """WITH long AS (SELECT vec_id, label, unnest(embedding)::double AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings), c AS (SELECT label % 2 AS cluster, dim, avg(x) AS m FROM long GROUP BY 1, 2),

@@ -22,3 +22,10 @@ def query(name: str, sql: str | None = None) -> Callable:
         return f
 
     return put
+
+
+def check(name: str, sql: str) -> None:
+    """SQL for a query that is registered already."""
+    if name not in QUERIES:
+        raise KeyError(name)
+    ORACLES[name] = oracle(sql)

@@ -179,20 +179,20 @@ def representative(t: Tables) -> DataFrame:
     return per.join(mean, "workspace_path").groupBy("workspace_path").agg(F.min_by(F.struct("session_id", "n"), F.struct(F.abs(F.col("n") - F.col("mean")), "session_id")).alias("s")).select("workspace_path", "s.session_id", "s.n")
 
 
-@query("v05_padded", "SELECT vec_id, len(embedding) AS n, 80 AS padded, len(list_filter(embedding, lambda x: x > 0)) AS positive FROM embeddings")
+@query("v05_padded")
 def padded(t: Tables) -> DataFrame:
     e = F.col("embedding").cast("array<double>")
     pad = F.slice(F.concat(e, F.array_repeat(F.lit(0.0), 80)), 1, 80)
-    return t.raw("embeddings").select("vec_id", F.size("embedding").cast("long").alias("n"), F.size(pad).alias("padded"), F.size(F.filter(pad, lambda x: x > 0)).cast("long").alias("positive"))
+    return t.raw("embeddings").select("vec_id", F.size("embedding").cast("long").alias("n"), F.posexplode(pad).alias("dim", "x")).withColumn("x", F.round("x", 9))
 
 
 @query("v07_dtw")
 def dtw(t: Tables) -> DataFrame:
     """DTW of each session's edit sizes to its workspace's longest session."""
-    per = t.ev.where("type = 'code_change'").groupBy("workspace_path", "session_id").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("ts", "lines_added"))), 1, 40), lambda s: s["lines_added"].cast("double")).alias("x"))
+    sizes = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "lines_added"))), lambda s: s["lines_added"].cast("double"))
+    per = t.ev.where("type = 'code_change'").groupBy("workspace_path", "session_id").agg(sizes.alias("x"))
     lead = per.groupBy("workspace_path").agg(F.max_by("x", F.struct(F.size("x"), "session_id")).alias("y"))
-    far = F.udf(lambda x, y: vectors.dtw(x, y), "double", useArrow=True)
-    return per.join(lead, "workspace_path").select("session_id", "workspace_path", F.round(far("x", "y"), 6).alias("distance"))
+    return per.join(lead, "workspace_path").select("session_id", "workspace_path", F.round(vectors.dtw_distance("x", "y"), 6).alias("distance"))
 
 
 @query("v08_behaviour_library", "SELECT label, count(*) AS frequency, min(vec_id) AS first_member FROM embeddings GROUP BY label HAVING count(*) >= 3")

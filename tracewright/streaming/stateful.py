@@ -46,6 +46,29 @@ def prompt_edit_pairs(prompts: DataFrame, edits: DataFrame, within: str = "5 min
     return p.join(e, F.expr(f"p_ws = e_ws AND e_ts >= p_ts AND e_ts <= p_ts + INTERVAL {within}")).select("prompt_id", "entry_id")
 
 
+def pending_prompts(stream: DataFrame, most: int = 10) -> DataFrame:
+    """workspace_path, entry_id, prompt_id: each edit takes the newest prompt that waits in its workspace; of those that
+    wait the last most are kept in state. stream: event_id, ts, workspace_path, event_type (purchase: a prompt, click: an
+    edit); others pass by. Rows of one batch are taken in the order of time."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def step(key, batches, state: GroupState):
+        import pandas as pd
+
+        waiting = list(state.get[0]) if state.exists else []
+        rows, out = pd.concat(list(batches)), []
+        for r in rows.sort_values(["ts", "event_id"]).itertuples():
+            if r.event_type == "purchase":
+                waiting = [*waiting, r.event_id][-most:]
+            elif waiting:
+                out.append((key[0], r.event_id, waiting.pop()))
+        state.update((waiting,))
+        yield pd.DataFrame(out, columns=["workspace_path", "entry_id", "prompt_id"])
+
+    both = stream.where("event_type IN ('purchase', 'click')").select("event_id", "ts", "workspace_path", "event_type")
+    return both.groupBy("workspace_path").applyInPandasWithState(step, "workspace_path string, entry_id long, prompt_id long", "waiting array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
 def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """What a stream yields over all that is there now, as a table in memory (for tests and small results)."""
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
