@@ -48,9 +48,24 @@ PROMPT_INTENTS = {
 FILE_TYPES = {".js": "javascript", ".ts": "typescript", ".py": "python", ".rs": "rust", ".go": "go"}
 
 
+#: What a text must hold for a mask to apply; cheaper to look for than the mask itself.
+_NEEDED = {"[EMAIL]": "@", "[URL]": "http", "[JWT_TOKEN]": "eyJ"}
+_DIGITS = ("[IP]", "[PHONE]", "[SSN]", "[CREDIT_CARD]")
+
+
 def redact(text: Column) -> Column:
-    """Nine masks, one after the other."""
-    return reduce(lambda c, m: F.regexp_replace(c, *map(F.lit, m)), PII, text)
+    """Nine masks, one after the other, each where it may apply."""
+
+    def mask(pattern: str, label: str):
+        def put(v: Column) -> Column:
+            masked = F.regexp_replace(v, F.lit(pattern), F.lit(label))
+            if label in _NEEDED:
+                return F.when(F.contains(v, F.lit(_NEEDED[label])), masked).otherwise(v)
+            return F.when(v.rlike("[0-9]"), masked).otherwise(v) if label in _DIGITS else masked
+
+        return put
+
+    return F.element_at(reduce(lambda c, m: F.transform(c, mask(*m)), PII, F.array(text)), 1)
 
 
 def redact_code(code: Column) -> Column:

@@ -31,7 +31,7 @@ def legacy_symbols(t: Tables) -> DataFrame:
 
 @query("f35_first_intent", f"SELECT prompt_id, coalesce(split_part(nullif(concat_ws(',', {INTENTS}), ''), ',', 1), 'INTENT_OTHER') AS intent FROM (SELECT prompt_id, lower(text) AS low FROM prompts) x")
 def first_intent(t: Tables) -> DataFrame:
-    return t.prompts.select("prompt_id", X.intents(F.col("text"))[0].alias("intent"))
+    return t.said.select("prompt_id", X.intents(F.col("text"))[0].alias("intent"))
 
 
 EVENT_INTENT = _case("lower(coalesce(annotation, ''))", E.NOTE_INTENTS, "CASE WHEN contains(lower(file_path), 'test') OR contains(lower(file_path), 'spec') THEN 'testing' ELSE 'general' END")
@@ -119,7 +119,7 @@ def code_abstracts(t: Tables) -> DataFrame:
   {_case("lower(text)", E.STATEMENTS, "'AI interaction'")} AS statement, {_case("lower(text)", E.WORKFLOWS, "'general_interaction'")} AS workflow FROM prompts""")
 def prompt_abstracts(t: Tables) -> DataFrame:
     x = F.col("text")
-    return t.prompts.select("prompt_id", E.prompt_abstract(x).alias("abstract"), E.prompt_statement(x).alias("statement"), E.prompt_workflow(x).alias("workflow"))
+    return t.said.select("prompt_id", E.prompt_abstract(x).alias("abstract"), E.prompt_statement(x).alias("statement"), E.prompt_workflow(x).alias("workflow"))
 
 
 #: Contexts of prompts in each of the forms in which they come.

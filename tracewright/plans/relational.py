@@ -376,7 +376,7 @@ def null_aware_order(t: Tables) -> DataFrame:
 @query("o04_keywords", """SELECT prompt_id, word, n FROM (SELECT prompt_id, word, count(*) AS n, row_number() OVER (PARTITION BY prompt_id ORDER BY count(*) DESC, word) AS rn FROM
   (SELECT prompt_id, unnest(regexp_split_to_array(lower(text), '[ \\n\\t]+')) AS word FROM prompts) x WHERE length(word) > 3 GROUP BY prompt_id, word) y WHERE rn <= 10""")
 def keywords(t: Tables) -> DataFrame:
-    words = t.prompts.select("prompt_id", F.explode(F.split(F.lower("text"), "[ \\n\\t]+")).alias("word")).where(F.length("word") > 3).groupBy("prompt_id", "word").agg(F.count("*").alias("n"))
+    words = t.said.select("prompt_id", F.explode(F.split(F.lower("text"), "[ \\n\\t]+")).alias("word")).where(F.length("word") > 3).groupBy("prompt_id", "word").agg(F.count("*").alias("n"))
     return words.withColumn("rn", F.row_number().over(Window.partitionBy("prompt_id").orderBy(F.desc("n"), "word"))).where("rn <= 10").drop("rn")
 
 

@@ -11,7 +11,7 @@ from tracewright.functions import text as X
 from tracewright.operators import context, graph, sessions, vectors
 from tracewright.plans.registry import query
 from tracewright.sources import files
-from tracewright.sources.telemetry import Tables
+from tracewright.sources.telemetry import Tables, spread
 
 CHUNKS = """marked AS (SELECT event_id, ts, type, workspace_path, file_path, lines_added, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 300000000 THEN 1 ELSE 0 END AS new FROM ev WINDOW w AS (ORDER BY ts, event_id)),
   chunks AS (SELECT *, sum(new) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS chunk_id FROM marked)"""
@@ -126,22 +126,22 @@ INTENTS = ", ".join(f"CASE WHEN {_any(words)} THEN '{label}' END" for label, wor
 
 @query("f34_intents", f"SELECT prompt_id, coalesce(nullif(concat_ws(',', {INTENTS}), ''), 'INTENT_OTHER') AS intents FROM (SELECT prompt_id, lower(text) AS low FROM prompts) x")
 def intents(t: Tables) -> DataFrame:
-    return t.prompts.select("prompt_id", F.array_join(X.intents(F.col("text")), ",").alias("intents"))
+    return t.said.select("prompt_id", F.array_join(X.intents(F.col("text")), ",").alias("intents"))
 
 
 @query("a19_intent_distribution", f"SELECT intent, count(*) AS n FROM (SELECT unnest(string_split(coalesce(nullif(concat_ws(',', {INTENTS}), ''), 'INTENT_OTHER'), ',')) AS intent FROM (SELECT lower(text) AS low FROM prompts) x) y GROUP BY intent")
 def intent_distribution(t: Tables) -> DataFrame:
-    return t.prompts.select(F.explode(X.intents(F.col("text"))).alias("intent")).groupBy("intent").agg(F.count("*").alias("n"))
+    return t.said.select(F.explode(X.intents(F.col("text"))).alias("intent")).groupBy("intent").agg(F.count("*").alias("n"))
 
 
 @query("f41_prompt_intent")
 def prompt_intent(t: Tables) -> DataFrame:
-    return t.prompts.select("prompt_id", X.prompt_intent(F.col("text")).alias("intent"))
+    return t.said.select("prompt_id", X.prompt_intent(F.col("text")).alias("intent"))
 
 
 @query("f04_redaction")
 def redaction(t: Tables) -> DataFrame:
-    return t.raw("documents").select("doc_id", F.md5(X.redact(F.col("text"))).alias("masked"))
+    return spread(t.raw("documents").select("doc_id", "text")).select("doc_id", F.md5(X.redact(F.col("text"))).alias("masked"))
 
 
 @query("f07_sanitised", r"SELECT doc_id, md5(CASE WHEN length(m) > 2000 THEN concat(substr(m, 1, 2000), '...<truncated>') ELSE m END) AS clean FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}', '<EMAIL>', 'g'), 'https?://[^\s]+', '<URL>', 'g') AS m FROM documents) x")

@@ -49,6 +49,14 @@ def oracle(sql: str) -> str:
     return head + ",\n".join(parts) + (",\n" + body.removeprefix("WITH ") if body.startswith("WITH ") else "\n" + body)
 
 
+def spread(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    """df over all cores, where its input (or the source that it has most rows of) is so small that a scan or a join would
+    keep only some of them busy with what follows."""
+    source = df if source is None else source
+    cores, size = df.sparkSession.sparkContext.defaultParallelism, int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * (128 << 20) and len(source.inputFiles()) < cores else df
+
+
 class Tables:
     """The derived tables and the driver's own, read lazily; only the columns that a query uses are read."""
 
@@ -69,6 +77,11 @@ class Tables:
     def prompts(self) -> DataFrame:
         return self._joined(PROMPTS)
 
+    @cached_property
+    def said(self) -> DataFrame:
+        """prompt_id and text of prompts, over all cores: for functions that take long for a text."""
+        return spread(self.prompts.select("prompt_id", "text"), self.ev)
+
     @cached_property
     def entries(self) -> DataFrame:
         return self._joined(ENTRIES)
