@@ -25,7 +25,7 @@ def parameterised_sql(t: Tables) -> DataFrame:
     return t.spark.sql("SELECT type, count(*) AS n FROM {ev} WHERE workspace_path = :w GROUP BY type", args={"w": "/w/p2"}, ev=t.ev)
 
 
-@query("s05_json_document", "SELECT cast(doc_id AS bigint) AS doc_id, lang FROM documents WHERE doc_id < 50")
+@query("s05_json_document", "SELECT cast(doc_id AS bigint) AS doc_id, lang FROM documents")
 def json_document(t: Tables) -> DataFrame:
     path = f"{_scratch(t)}.json"
     t.raw("documents").select("doc_id", "lang").write.json(path)

@@ -368,7 +368,7 @@ def train_split(t: Tables) -> DataFrame:
     return split_positions(t.entries.select("entry_id", "ts"), ["ts", "entry_id"])[0].select("entry_id")
 
 
-@query("o02_null_aware_order", "SELECT entry_id, prompt_id FROM entries ORDER BY prompt_id IS NULL, prompt_id, entry_id LIMIT 300")
+@query("o02_null_aware_order", "SELECT entry_id, prompt_id FROM entries ORDER BY prompt_id IS NULL, prompt_id, entry_id")
 def null_aware_order(t: Tables) -> DataFrame:
     return t.entries.select("entry_id", "prompt_id").orderBy(F.col("prompt_id").isNull(), "prompt_id", "entry_id")
 
