@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import held_out, id_and_text, mixed, tune, word_hashes
+from ._common import held_out, id_and_text, mixed, trimmed, tune, word_hashes
 from .labelled import training_sample
 
 PASSAGE_WORDS, HASHED, HIDDEN, THRESHOLD = 64, 8, 16, 0.3
@@ -134,5 +134,5 @@ def score(docs: DataFrame, model: AttentionMIL, id_col: str = "doc_id", text_col
     extra = [F.struct(*(F.col(c) for c in carry)).alias("carry")] if carry else []
     source = id_and_text(docs, id_col, text_col, held_out(id_col, 5).alias("held_out"), *extra)
     schema = "doc_id long, held_out boolean, score double, n_passages long" + (f", carry {source.schema['carry'].dataType.simpleString()}" if carry else "")
-    out = source.mapInArrow(run, schema)
+    out = source.mapInArrow(trimmed(run), schema)
     return out.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_passages", *(F.col("carry")[c].alias(c) for c in carry))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import id_and_text, partitions_for, tune
+from ._common import id_and_text, partitions_for, trimmed, tune
 from .tokens import END, default_tokenizer, tokenizer_for
 
 MAGIC, BITS, RANK_BITS = b"DAC1", 8, 512
@@ -144,7 +144,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = E
 
     order = ["doc_id", F.xxhash64("text")]
     ordered = id_and_text(docs, id_col, text_col).repartitionByRange(shards or partitions_for(docs), *order).sortWithinPartitions(*order, "text")
-    ordered.select("doc_id", "text", F.spark_partition_id().cast("long").alias("shard")).mapInArrow(run, SEGMENTS).write.parquet(path)
+    ordered.select("doc_id", "text", F.spark_partition_id().cast("long").alias("shard")).mapInArrow(trimmed(run), SEGMENTS).write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -178,4 +178,4 @@ def _decoded(spark: SparkSession, path: str, column: str, to_array, of_ids) -> D
                 values = [of_ids(ids[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(first + at[:-1]), pa.array(np.diff(at)), to_array(values)], names=["doc_id", "start", "n_tokens", column.split()[0]])
 
-    return placed.mapInArrow(run, f"doc_id long, start long, n_tokens long, {column}")
+    return placed.mapInArrow(trimmed(run), f"doc_id long, start long, n_tokens long, {column}")

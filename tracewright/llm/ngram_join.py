@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import id_and_text, mixed, most_frequent, partitions_by_size, shingle_set, staged, tune
+from ._common import id_and_text, mixed, most_frequent, partitions_by_size, shingle_set, staged, trimmed, tune
 from .components import components
 from .signature_tree import WORDS, Tree, bitmap, folded, leaders, may_link
 
@@ -74,7 +74,7 @@ def _profiles(docs: DataFrame, width: int) -> DataFrame:
         if n:
             yield frequent()
 
-    return docs.mapInArrow(run, "doc_id long, row_hash long, n long, node long, digest binary, base binary, wide binary, shingles array<long>, counts array<long>")
+    return docs.mapInArrow(trimmed(run), "doc_id long, row_hash long, n long, node long, digest binary, base binary, wide binary, shingles array<long>, counts array<long>")
 
 
 def _partitions(docs: DataFrame, width: int, num: int, den: int, often: tuple[np.ndarray, np.ndarray], n_parts: int) -> DataFrame:
@@ -163,8 +163,8 @@ def _partitions(docs: DataFrame, width: int, num: int, den: int, often: tuple[np
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found]), pa.array([x[1] for x in found], pa.list_(pa.int64()))], names=["sig", "ids"])
 
-    blobs = docs.mapInArrow(send, "part int, nodes binary, counts binary, keys binary").repartition(n_parts, "part")
-    return blobs.mapInArrow(gather, "sig long, ids array<long>").dropDuplicates(["sig"])
+    blobs = docs.mapInArrow(trimmed(send), "part int, nodes binary, counts binary, keys binary").repartition(n_parts, "part")
+    return blobs.mapInArrow(trimmed(gather), "sig long, ids array<long>").dropDuplicates(["sig"])
 
 
 def _clusters(groups: DataFrame) -> DataFrame:
@@ -241,7 +241,7 @@ def _candidates(units: DataFrame, nodes: DataFrame, comps: DataFrame | None, num
                 if cut:
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), pa.nulls(1, pa.int64())], names=["a", "b"])
 
-    return packed.mapInArrow(run, "a long, b long").distinct()
+    return packed.mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
 def _refined(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
@@ -260,7 +260,7 @@ def _refined(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFram
             ]
             yield batch.select(["a", "b"]).take(pa.array(on, pa.int64()))
 
-    return pairs.join(a, "a", "left").join(b, "b", "left").select("a", "b", "na", "wa", "nb", "wb").mapInArrow(run, "a long, b long")
+    return pairs.join(a, "a", "left").join(b, "b", "left").select("a", "b", "na", "wa", "nb", "wb").mapInArrow(trimmed(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -275,7 +275,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, n
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int64()))], names=["node", "s"])
 
     texts = docs.join(side, F.col("doc_id").eqNullSafe(F.col("rep")))
-    sets = staged(texts.select("text", "wanted_node").mapInArrow(run, "node long, s array<long>").dropDuplicates(["node"]), "sets")
+    sets = staged(texts.select("text", "wanted_node").mapInArrow(trimmed(run), "node long, s array<long>").dropDuplicates(["node"]), "sets")
     both = sets.select(F.col("node").alias("a"), F.col("s").alias("sa")).join(_few(pairs), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(common * (num + den) >= (F.size("sa") + F.size("sb")) * num).select("a", "b")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import id_and_text, tune
+from ._common import id_and_text, trimmed, tune
 from .tokens import END, default_tokenizer, tokenizer_for
 
 WINDOW = 4096
@@ -177,4 +177,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = WINDOW,
         if packer:
             yield batch(list(packer.flush()))
 
-    return id_and_text(docs, id_col, text_col, F.spark_partition_id().alias("part")).mapInArrow(run, SCHEMA)
+    return id_and_text(docs, id_col, text_col, F.spark_partition_id().alias("part")).mapInArrow(trimmed(run), SCHEMA)

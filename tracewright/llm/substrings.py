@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import id_and_text, mixed, partitions_for, tune, window_hashes, word_hashes
+from ._common import id_and_text, mixed, partitions_for, trimmed, tune, window_hashes, word_hashes
 
 MIN_WORDS = 13
 #: Perfect difference covers: fixed values. Any two residues, shifted alike by less than the period, both fall in the set.
@@ -150,8 +150,8 @@ def _answers(rows: DataFrame, hashes: Callable, n_parts: int, later_only: bool,
             for k in range(0, len(docs), 4096):
                 yield pa.RecordBatch.from_arrays([pa.array(docs[k : k + 4096]), pa.array([_pack(h[i:j], size) for i, j in zip(starts[k : k + 4096], ends[k : k + 4096], strict=True)], pa.binary())], names=["id", "hashes"])
 
-    asked = rows.mapInArrow(send, BLOBS).repartition(n_parts, "part")
-    return asked.mapInArrow(answer, BLOBS).repartition(n_parts, "part").mapInArrow(assemble, "id long, hashes binary")
+    asked = rows.mapInArrow(trimmed(send), BLOBS).repartition(n_parts, "part")
+    return asked.mapInArrow(trimmed(answer), BLOBS).repartition(n_parts, "part").mapInArrow(trimmed(assemble), "id long, hashes binary")
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -205,6 +205,6 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     schema = "doc_id long, n_words long, n_removed long, kept_text string"
     if carry:
         schema += f", carry {dealt.schema['carry'].dataType.simpleString()}"
-    out = joined(earlier).select("doc_id", "text", "hashes", *["carry"] * bool(carry)).mapInArrow(cut, schema)
+    out = joined(earlier).select("doc_id", "text", "hashes", *["carry"] * bool(carry)).mapInArrow(trimmed(cut), schema)
     own: list[Column] = [F.col(c) for c in ("doc_id", "n_words", "n_removed", "kept_text")]
     return out.select(*own, *(F.col("carry")[c].alias(c) for c in carry))
