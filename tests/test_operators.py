@@ -122,3 +122,16 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {r["n"] for r in chunks.collect()} == {7}
     changes = stateful.run_once(stateful.file_changes(stream), "changes", f"{tmp_path}/c3")
     assert changes.where(F.col("chars_added") + F.col("chars_deleted") < 10).count() == 0 and changes.count() > 3
+
+
+def test_prompt_edit_pairs_meet_near_their_time(spark, tmp_path):
+    """Streams meet in buckets of the interval, each pair once, bounds included; executors write them."""
+    schema = "id long, ts timestamp, workspace_path string"
+    begin = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    rows = [(i, begin + dt.timedelta(seconds=s), w) for i, (s, w) in enumerate([(s, w) for s in (-900, -600, -300, -1, 0, 1, 299, 300, 301, 600, 5000) for w in ("v", "w", None)] + [(0, "w")])]
+    spark.createDataFrame([*rows, (99, None, "w")], schema).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    pairs = stateful.prompt_edit_pairs(stream.withColumnRenamed("id", "prompt_id"), stream.withColumnRenamed("id", "entry_id"), "5 minutes")
+    assert "p_bucket" in pairs._jdf.queryExecution().analyzed().toString()
+    got = sorted(tuple(r) for r in stateful.run_to(pairs, f"{tmp_path}/out", f"{tmp_path}/check").collect())
+    assert got == sorted((a, b) for a, s, v in rows for b, t, w in rows if v is not None and v == w and 0 <= (t - s).total_seconds() <= 300)

@@ -420,7 +420,8 @@ def prompt_edit_pairs(t: Tables) -> DataFrame:
     """Interval join of two streams."""
     p = _stream(t).where("event_type = 'purchase'").select(F.col("event_id").alias("prompt_id"), "ts", "workspace_path")
     e = _stream(t).where("event_type = 'click'").select(F.col("event_id").alias("entry_id"), "ts", "workspace_path")
-    return stateful.run_once(stateful.prompt_edit_pairs(p, e, "5 minutes"), f"pairs_{uuid.uuid4().hex}", _scratch(t))
+    at = _scratch(t)
+    return stateful.run_to(stateful.prompt_edit_pairs(p, e, "5 minutes"), f"{at}/out", f"{at}/check")
 
 
 @query("g07_betweenness")

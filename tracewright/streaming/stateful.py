@@ -40,10 +40,16 @@ def file_changes(stream: DataFrame, threshold: int = 10) -> DataFrame:
 
 
 def prompt_edit_pairs(prompts: DataFrame, edits: DataFrame, within: str = "5 minutes") -> DataFrame:
-    """prompt_id, entry_id: edits in a workspace within the interval after a prompt (interval join with watermarks)."""
+    """prompt_id, entry_id: edits in a workspace within the interval after a prompt (interval join with watermarks). Both
+    meet in buckets of the interval's width, an edit in its own and the one before: a row is compared with those near it,
+    not with all of its workspace. Spark takes rows from before 1970 as late."""
+    width = f"greatest(unix_micros(timestamp_micros(0) + INTERVAL {within}), 1L)"
     p = prompts.select("prompt_id", F.col("ts").alias("p_ts"), F.col("workspace_path").alias("p_ws")).withWatermark("p_ts", "10 minutes")
     e = edits.select("entry_id", F.col("ts").alias("e_ts"), F.col("workspace_path").alias("e_ws")).withWatermark("e_ts", "10 minutes")
-    return p.join(e, F.expr(f"p_ws = e_ws AND e_ts >= p_ts AND e_ts <= p_ts + INTERVAL {within}")).select("prompt_id", "entry_id")
+    p = p.withColumn("p_bucket", F.expr(f"unix_micros(p_ts) div {width}"))
+    own = f"unix_micros(e_ts) div {width}"
+    e = e.withColumn("e_bucket", F.explode(F.expr(f"array({own}, {own} - 1)")))
+    return p.join(e, F.expr(f"p_ws = e_ws AND p_bucket = e_bucket AND e_ts >= p_ts AND e_ts <= p_ts + INTERVAL {within}")).select("prompt_id", "entry_id")
 
 
 def pending_prompts(stream: DataFrame, most: int = 10) -> DataFrame:
@@ -74,3 +80,10 @@ def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append"
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def run_to(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """What a stream yields over all that is there now, as files under path, which executors write: for results of any size."""
+    q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
