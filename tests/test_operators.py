@@ -111,6 +111,21 @@ def test_files(spark, tmp_path):
     assert {r["id"] for r in train.collect()} == set(range(90)) and rest.count() == 10
 
 
+def test_split_positions_agree_over_coalesced_ranges(spark):
+    """Rows and their counts come from the same ranges, though one of both plans has wide rows and the other none."""
+    wide = spark.range(30000, numPartitions=3).select((F.col("id") * 7919 % 30000).alias("id"), F.expr("repeat(sha2(cast(id as string), 512), 8)").alias("text"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "2m")
+    try:
+        train, rest = files.split_positions(wide, ["id"])
+        assert sorted(r["id"] for r in train.select("id", "text").collect()) == list(range(27000))
+        assert sorted(r["id"] for r in rest.collect()) == list(range(27000, 30000))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [(i, at(60 * (i % 7) + 4000 * (i // 7)), "w", f"f{i % 2}", "x" * (i * 7 % 50)) for i in range(28)]
     df = spark.createDataFrame(rows, "id int, ts timestamp, workspace_path string, file_path string, content string")

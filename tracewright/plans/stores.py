@@ -239,7 +239,7 @@ def dataset_export(t: Tables) -> DataFrame:
     for name, part in zip(("train", "validation"), files.split_positions(t.entries.select("entry_id", "file_path", "after_code"), ["entry_id"]), strict=True):
         part.write.json(f"{path}/{name}")
     t.spark.createDataFrame([("# Dataset\\n\\ntrain and validation parts as JSON lines",)], "value string").coalesce(1).write.text(f"{path}/card")
-    return _counts({name: t.spark.read.schema("entry_id long").json(f"{path}/{name}") for name in ("train", "validation")}, "split")
+    return _counts({name: t.spark.read.schema("entry_id long").json(f"{path}/{name}") for name in ("train", "validation")}, "split").where("n > 0")
 
 
 @query("u03_dataset_samples", "SELECT id, kind FROM (SELECT cast(entry_id AS varchar) AS id, 'entry' AS kind FROM entries UNION ALL SELECT concat('prompt_', prompt_id), 'prompt' FROM prompts) x")

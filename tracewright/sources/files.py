@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewright.operators.graph import _kept as kept
+
 
 def detect_format(path: str) -> str:
     for suffix in ("jsonl", "json", "parquet"):
@@ -156,10 +158,9 @@ def numbered(df: DataFrame, order: list[str]) -> DataFrame:
 
 
 def split_positions(df: DataFrame, order: list[str], share: float = 0.9) -> tuple[DataFrame, DataFrame]:
-    """The first share of the rows in an order, and the rest. Positions come from one count per range partition."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    from pyspark.sql import Window
-
+    """The first share of the rows in an order, and the rest. Positions come from one count per range partition. Rows are
+    dealt once and kept: each use would choose and coalesce its own ranges, whose numbers don't agree."""
+    ranged = kept(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     local = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
     sizes = local.groupBy("_p").agg(F.count("*").alias("_n"))
     along = Window.orderBy("_p")  # one row per partition
