@@ -468,3 +468,35 @@ def test_licences_on_text_not_seen(docs):
         sure.append(p.max())
         right.append(p.argmax() == k)
     assert abs(np.mean(sure) - np.mean(right)) < 0.1
+
+
+def test_weights_are_fitted_on_every_bit(spark):
+    """Newton's method over all bits of all training texts at once gives the same weights: of texts whose words change
+    along the way, one of which is longer than what is fitted at once."""
+    cm, rng = context_mixing, random.Random(5)
+    kinds = [[f"{a}{i}" for i in range(60)] for a in "xyz"]
+    texts = [" ".join(rng.choice(kinds[j * 3 // n]) if rng.random() < 0.9 else f"n{rng.randrange(10**6)}" for j in range(n)).encode() for n in (0, 1, 40, 3000, 5000, cm.STRETCH + 900)]
+    df = spark.createDataFrame([(i, t, i == 2) for i, t in enumerate(texts)], "doc_id long, text binary, held_out boolean").repartition(2)
+    counts = cm.token_counts(df).cache()
+    seen = Counter({bytes(r["token"]): r["c"] for r in counts.collect()})
+    words = sorted(seen, key=lambda w: (-seen[w], w))
+    voc = cm.Vocabulary(words, np.array([seen[w] for w in words]), sum(seen.values()), 150)
+    shared = spark.sparkContext.broadcast(voc)
+    pieces = cm.pieces_of(cm.context_ranges(df, counts, shared, voc.slots))
+    got, tables = cm.mixing_weights(df, counts, shared, pieces).w, cm.model_of(shared, pieces).tables
+    parts = []
+    for i, t in enumerate(texts):
+        if i != 2:
+            w = cm.split(t)
+            places = voc.places(w)
+            rare = voc.rare(w, places)
+            parts += [voc.events([voc.symbols(places)], [voc.contexts(places)], 0, None)] + ([voc.spelling(rare)] if rare else [])
+    x = [np.concatenate(c) for c in zip(*((*cm.Mixer.inputs(ev, tables, cm.lookup(True), True), ev[1]) for ev in parts), strict=True)]
+    s, gate, bit = np.stack(x[:3], 1).astype(float), x[3], x[4]
+    for g in range(cm.Mixer.GATES):
+        own, first = s[gate == g], cm.Mixer().w[g].astype(float)
+        w = first.copy()
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-own @ w))
+            w += np.linalg.solve((own * (p * (1 - p))[:, None]).T @ own + 50 * np.eye(3), own.T @ (bit[gate == g] - p) - 50 * (w - first))
+        assert abs(own @ (got[g] - w)).max(initial=0) < 0.1, g
