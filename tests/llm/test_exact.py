@@ -500,3 +500,17 @@ def test_weights_are_fitted_on_every_bit(spark):
             p = 1 / (1 + np.exp(-own @ w))
             w += np.linalg.solve((own * (p * (1 - p))[:, None]).T @ own + 50 * np.eye(3), own.T @ (bit[gate == g] - p) - 50 * (w - first))
         assert abs(own @ (got[g] - w)).max(initial=0) < 0.1, g
+
+
+def test_the_driver_holds_no_table(spark, monkeypatch):
+    """Tables go to the workers in packed pieces; only workers put them together, and the pieces make the same model."""
+    cm = context_mixing
+    df = spark.createDataFrame([(i, f"aa bb cc w{i % 7} dd " * (i + 1)) for i in range(30)], "doc_id long, text string")
+    want = sorted((r["doc_id"], r["score"]) for r in cm.score(df).collect())
+
+    def refused(*_):
+        raise AssertionError("a table in the driver")
+
+    monkeypatch.setattr(cm, "assembled", refused)
+    monkeypatch.setattr(cm, "PIECE", 100)
+    assert sorted((r["doc_id"], r["score"]) for r in cm.score(df).collect()) == want
