@@ -1,6 +1,7 @@
 """Trained operators, by their accuracy on what they did not see."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -65,3 +66,25 @@ def test_offending_sentences_are_located(data):
     text = b"w1 w2 w3 w4. w5 snarkly w6 w7. w8 w9."
     spans, p = model.sentence_scores(text)
     assert text[slice(*spans[int(p.argmax())])] == b"w5 snarkly w6 w7." and (p > 0.5).sum() == 1
+
+
+def test_toxicity_fit_holds_four_bytes_a_bucket_of_a_sentence():
+    """And a stretch of what a step derives from them: it took some 55 bytes each, and 1,569 MB of the driver in all."""
+    rng = random.Random(4)
+    vocabulary = [f"{rng.randrange(10**9):x}" for _ in range(3000)]
+    texts = [". ".join(" ".join(rng.choices(vocabulary, k=20)) for _ in range(100)).encode() for _ in range(250)]
+    tracemalloc.start()
+    noisy_or_toxicity.NoisyOr().fit(texts, np.arange(250) % 2, steps=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20
+
+
+def test_toxicity_fit_does_not_depend_on_stretches(monkeypatch):
+    rows, labels = bags(300, 3)
+    texts, y = [t.encode() for _, t, _ in rows[:300]] + [b"", b" \n", b"one. two"], np.array([x[2] for x in labels[:300]] + [0, 1, 0])
+    whole = noisy_or_toxicity.NoisyOr().fit(texts, y)
+    for name in ("STRETCH", "LISTED"):
+        monkeypatch.setattr(noisy_or_toxicity, name, 40)
+    cut = noisy_or_toxicity.NoisyOr().fit(texts, y)
+    assert np.abs(whole.weights).max() > 1 and np.allclose(whole.weights, cut.weights, atol=1e-5) and abs(whole.bias - cut.bias) < 1e-6

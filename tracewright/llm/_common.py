@@ -76,6 +76,14 @@ def tune(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def trim() -> None:
+    """Give this process's free memory back."""
+    pa.default_memory_pool().release_unused()
+    free = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if free:
+        free(0)
+
+
 def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """run for mapInArrow, after which the worker gives its free memory back: workers outlive their tasks, and what one
     step leaves unused would count on top of the next one's."""
@@ -84,10 +92,7 @@ def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-            if trim:
-                trim(0)
+            trim()
 
     return wrapped
 

@@ -30,7 +30,10 @@ def _texts(texts: DataFrame, ids: DataFrame, limits: dict[int, int], most_bytes:
         return []
     wanted = F.broadcast(texts.sparkSession.createDataFrame(chosen, "of long, kind int, digest long"))
     rows = texts.join(wanted, F.col("id").eqNullSafe(F.col("of")) & (F.xxhash64("t") == F.col("digest"))).groupBy("id", "kind").agg(F.min("t").alias("t")).collect()
-    return [(r["kind"], bytes(r["t"])) for r in sorted(rows, key=lambda r: (r["id"] is None, r["id"] or 0, r["kind"]))]
+    rows.sort(key=lambda r: (r["id"] is None, r["id"] or 0, r["kind"]))
+    for k, r in enumerate(rows):  # a text is not held twice
+        rows[k] = r["kind"], bytes(r["t"])
+    return rows
 
 
 def first_texts(texts: DataFrame, n: int, most_bytes: int = TRAIN_BYTES) -> list[bytes]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import held_out, id_and_text, tune
+from ._common import held_out, id_and_text, trim, tune
 from .labelled import training_sample
 
 BUCKETS, THRESHOLD = 1 << 18, 0.5
@@ -19,8 +20,12 @@ BUCKETS, THRESHOLD = 1 << 18, 0.5
 TRAIN = {0: 5000, 1: 3000}
 #: Words whose weight a worker remembers.
 CACHED_WORDS = 500_000
+#: Buckets of sentences (one sentence's stay together) that a step of the fit has open at once; bytes of a sentence that is
+#: split into a list of words.
+STRETCH, LISTED = 1 << 18, 1 << 20
 _EDGE = b".,;:!?*$%&#|()[]{}<>\"'`-_+=~^/\\@"
 _SENTENCE = re.compile(rb"(?<=[.!?])[\x20\x09-\x0D]+|\n+")
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def features(word: bytes) -> list[int]:
@@ -30,14 +35,24 @@ def features(word: bytes) -> list[int]:
     return [xxhash.xxh3_64_intdigest(f) % BUCKETS for f in found]
 
 
-def sentences(text: bytes) -> list[tuple[int, int]]:
+def spans_of(text: bytes) -> Iterator[tuple[int, int]]:
     """Byte spans of the sentences that have a word."""
-    spans, at = [], 0
+    at = 0
     for m in _SENTENCE.finditer(text):
-        spans.append((at, m.start()))
+        if text[at : m.start()].strip():
+            yield at, m.start()
         at = m.end()
-    spans.append((at, len(text)))
-    return [(i, j) for i, j in spans if text[i:j].strip()]
+    if text[at:].strip():
+        yield at, len(text)
+
+
+def sentences(text: bytes) -> list[tuple[int, int]]:
+    return list(spans_of(text))
+
+
+def words_of(text: bytes, i: int, j: int) -> Iterator[bytes]:
+    """The words of a sentence; those of a very long one are not all held."""
+    return iter(text[i:j].split()) if j - i <= LISTED else (m.group() for m in _WORD.finditer(text, i, j))
 
 
 class NoisyOr:
@@ -51,49 +66,74 @@ class NoisyOr:
 
     def fit(self, texts: list[bytes], y: np.ndarray, steps: int = 80, rate: float = 0.15, decay: float = 2e-4) -> NoisyOr:
         """Adam on the log likelihood of the document labels, less decay times the sum of the weights. Weights stay at 0
-        or above: harmless words don't excuse a sentence. Buckets of fewer than three documents keep weight 0."""
-        buckets: dict[bytes, list[int]] = {}
-        columns, sizes, doc_of = [], [], []
-        df = np.zeros(BUCKETS, np.int32)
-        for d, text in enumerate(texts):
-            own, n = [], 0
-            for i, j in sentences(text):
-                s = set()
-                for w in text[i:j].split():
-                    f = buckets.get(w)
-                    if f is None:
-                        f = features(w)
-                        if len(buckets) < CACHED_WORDS // 4:
-                            buckets[w] = f
-                    s.update(f)
-                own += s
-                sizes.append(len(s))
-                n += 1
-            columns.append(np.array(own, np.int32))
-            doc_of.append(np.full(n, d, np.int32))
-            df[np.unique(columns[-1])] += 1
-        columns, doc_of = np.concatenate(columns), np.concatenate(doc_of)
-        in_sentence = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-        keep = df[columns] >= 3
-        columns, in_sentence = columns[keep], in_sentence[keep]
-        used, columns = np.unique(columns, return_inverse=True)
+        or above: harmless words don't excuse a sentence. Buckets of fewer than three documents keep weight 0.
+
+        A sentence's buckets are held as 4 bytes each; what a step derives from them is held for one stretch at a time."""
+        parts, df = self._parts(texts)
+        used = np.flatnonzero(df >= 3)
+        place = np.full(BUCKETS, -1, np.int32)
+        place[used] = np.arange(len(used), dtype=np.int32)
+        for k, (columns, sizes, docs) in enumerate(parts):
+            at = place[columns]
+            keep = at >= 0
+            parts[k] = at[keep], np.bincount(np.repeat(np.arange(len(sizes)), sizes)[keep], minlength=len(sizes)).astype(np.int32), docs
         w, b = np.zeros(len(used)), self.bias
         m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
-        y_of = y[doc_of]
         for step in range(1, steps + 1):
-            z = np.clip(np.bincount(in_sentence, w[columns], len(doc_of)) + b, -30, 30)
-            p = 1 / (1 + np.exp(-z))
-            none = np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-9)), len(texts))
+            none, found = np.zeros(len(texts)), []
+            for columns, sizes, docs in parts:
+                z = np.bincount(np.repeat(np.arange(len(sizes)), sizes), w.take(columns), len(sizes)) + b
+                p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+                none += np.bincount(docs, np.log1p(-np.minimum(p, 1 - 1e-9)), len(texts))
+                found.append(p)
             q = np.exp(none)
-            ratio = q / np.maximum(1 - q, 1e-9)
-            dz = np.where(y_of == 1, -p * np.minimum(ratio[doc_of], 1e6), p) / len(texts)
-            g, gb = np.bincount(columns, dz[in_sentence], len(used)) + decay, dz.sum()
+            ratio = np.where(y == 1, -np.minimum(q / np.maximum(1 - q, 1e-9), 1e6), 1) / len(texts)
+            g, gb = np.full(len(used), decay), 0.0
+            for (columns, sizes, docs), p in zip(parts, found, strict=True):
+                dz = p * ratio.take(docs)
+                g += np.bincount(columns, np.repeat(dz, sizes), len(used))
+                gb += dz.sum()
             m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
             w = np.maximum(w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-6), 0)
             b = b - rate * (mb / (1 - 0.9**step)) / (np.sqrt(vb / (1 - 0.999**step)) + 1e-6)
         self.weights[used], self.bias = w, float(b)
         return self
 
+    @staticmethod
+    def _parts(texts: list[bytes]) -> tuple[list[tuple[np.ndarray, ...]], np.ndarray]:
+        """Stretches of sentences (buckets, how many of each sentence, its text) and the number of texts of each bucket."""
+        buckets: dict[bytes, array] = {}
+        parts, df, last = [], np.zeros(BUCKETS, np.int32), np.full(BUCKETS, -1, np.int32)
+        columns, sizes, docs = array("i"), array("i"), array("i")
+
+        def met(d: int, since: int) -> None:
+            new = np.array(columns[since:], np.int32)
+            new = new[last[new] != d]
+            df[new] += 1  # once for a bucket, however often it is among them
+            last[new] = d
+
+        for d, text in enumerate(texts):
+            since = len(columns)
+            for i, j in spans_of(text):
+                s: set[int] = set()
+                for w in words_of(text, i, j):
+                    f = buckets.get(w)
+                    if f is None:
+                        f = array("i", features(w))
+                        if len(buckets) < CACHED_WORDS // 4:
+                            buckets[w] = f
+                    s.update(f)
+                columns.extend(s)
+                sizes.append(len(s))
+                docs.append(d)
+                if len(columns) >= STRETCH:
+                    met(d, since)
+                    parts.append(tuple(np.array(x, np.int32) for x in (columns, sizes, docs)))
+                    columns, sizes, docs, since = array("i"), array("i"), array("i"), 0
+            met(d, since)
+        parts.append(tuple(np.array(x, np.int32) for x in (columns, sizes, docs)))
+        return parts, df
+
     def _weight(self, words: list[bytes]) -> np.ndarray:
         seen = self.seen
         if len(seen) > CACHED_WORDS:
@@ -119,7 +159,10 @@ def document_score(p: np.ndarray) -> float:
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", limits: dict[int, int] | None = None) -> NoisyOr:
     texts, y = training_sample(docs, labels, label_col, limits or TRAIN, id_col, text_col)
-    return NoisyOr().fit(texts, np.array(y)) if len(set(y)) == 2 else NoisyOr()
+    model = NoisyOr().fit(texts, np.array(y)) if len(set(y)) == 2 else NoisyOr()
+    del texts
+    trim()  # the driver keeps what it is not asked to give back
+    return model
 
 
 def score(docs: DataFrame, model: NoisyOr, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
