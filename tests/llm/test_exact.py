@@ -514,3 +514,66 @@ def test_the_driver_holds_no_table(spark, monkeypatch):
     monkeypatch.setattr(cm, "assembled", refused)
     monkeypatch.setattr(cm, "PIECE", 100)
     assert sorted((r["doc_id"], r["score"]) for r in cm.score(df).collect()) == want
+
+
+def test_workers_of_an_executor_hold_the_tables_once(tmp_path, monkeypatch):
+    """The first of two processes of one parent makes them, the second finds them; they go with the processes."""
+    import os
+    import tempfile
+    import zlib as z
+
+    cm = context_mixing
+    monkeypatch.setattr(tempfile, "tempdir", str(tmp_path))
+    slots = 2 * cm.RANGE
+    data = np.arange(4 * cm.RANGE, dtype="<u4").reshape(4, -1)
+    ranges = [(k, z.compress(data[k].tobytes())) for k in (0, 1, 3)]
+
+    def refused():
+        raise AssertionError("made twice")
+        yield
+
+    def child(parts, then):
+        told, tell = os.pipe()
+        wait, go = os.pipe()
+        if not (pid := os.fork()):
+            try:
+                found = cm.shared_tables("k", parts, slots).reshape(4, -1)
+                ok = all((found[k] == (0 if k == 2 else data[k])).all() for k in range(4))
+                os.write(tell, b"y" if ok else b"n")
+                os.read(wait, 1)
+            finally:
+                os._exit(0)
+        os.close(tell)
+        answer = os.read(told, 1)
+        then and then()
+        os.write(go, b"x")
+        os.waitpid(pid, 0)
+        return answer
+
+    inner = []
+    assert child(ranges, lambda: inner.append(child(refused(), None))) == b"y" and inner == [b"y"]
+    assert child(refused(), None) == b""  # nobody holds them any more, so that they are made anew
+    assert sum(f.stat().st_size for f in tmp_path.iterdir()) < 100
+
+
+def test_counted_words_take_few_bytes_in_a_worker(monkeypatch):
+    """Words without a code are found by hash and letters, also where hashes clash; a dict took some 150 bytes each."""
+    import pickle
+    import tracemalloc
+
+    cm = context_mixing
+    words = [b"\n", *(b"w%d" % (7 * i) for i in range(100_000))]
+    voc = pickle.loads(pickle.dumps(cm.Vocabulary(words, np.arange(len(words), 0, -1), 10**10, 100)))  # noqa: S301
+    asked = [b"w%d" % i for i in range(0, 800_000, 13)] + [b"", b"w", b"w7 w14"]
+    where = {w: i for i, w in enumerate(words)}
+    tracemalloc.start()
+    voc.places([])
+    assert tracemalloc.get_traced_memory()[0] < 30 * len(words)
+    tracemalloc.stop()
+    assert voc.places(asked).tolist() == [where.get(w, -1) for w in asked] + [0]
+    assert voc.places(asked, True).tolist() == [i if i < 100 else -1 for i in (where.get(w, -1) for w in asked)] + [0]
+    assert voc.count(b"w7") == len(words) - 2 and voc.count(b"w8") == 0
+    monkeypatch.setattr(cm, "word_hashes", lambda w: np.fromiter((len(x) % 2 for x in w), np.uint64, len(w)))
+    few = cm.Vocabulary(words[:60], np.arange(60, 0, -1), 10**4, 5)
+    assert few.places(asked[:200]).tolist() == [i if i < 60 else -1 for i in (where.get(w, -1) for w in asked[:200])] + [0]
+    assert cm.Vocabulary([], np.array([], np.int64), 0).places([b"a"]).tolist() == [-1, -1]
