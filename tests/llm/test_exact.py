@@ -577,3 +577,44 @@ def test_counted_words_take_few_bytes_in_a_worker(monkeypatch):
     few = cm.Vocabulary(words[:60], np.arange(60, 0, -1), 10**4, 5)
     assert few.places(asked[:200]).tolist() == [i if i < 60 else -1 for i in (where.get(w, -1) for w in asked[:200])] + [0]
     assert cm.Vocabulary([], np.array([], np.int64), 0).places([b"a"]).tolist() == [-1, -1]
+
+
+def test_bits_of_a_repeated_token_are_taken_once(spark, monkeypatch):
+    """The CPU seconds of scoring and of the fit: a token after the same two, or a letter after the same four, is looked up
+    once for all texts at hand; and a path through a group of nodes stays in one line of a table."""
+    cm = context_mixing
+    texts = [(b"aa bb cc dd zebra%d yy " % (i % 3)) * 40 for i in range(50)]
+    df = spark.createDataFrame([(i, t, False) for i, t in enumerate(texts)], "doc_id long, text binary, held_out boolean").repartition(2)
+    model = cm.train(df, cm.token_counts(df), 50 * 241)
+    voc, taken, took = model.vocabulary, [0], cm.Vocabulary.bits_of
+    words = [cm.split(t) for t in texts]
+    alone = [model.score([w])[0] for w in words]
+
+    def counted(self, code, symbols, *contexts):
+        taken[0] += len(symbols)
+        return took(self, code, symbols, *contexts)
+
+    monkeypatch.setattr(cm.Vocabulary, "bits_of", counted)
+    model.seen[:] = np.nan
+    assert np.allclose(model.score(words), alone, rtol=1e-9, atol=0)
+    assert 0 < taken[0] < 100 < sum(map(len, words)) / 100
+    kinds, times = cm.summed(np.concatenate([voc.token_kinds([voc.symbols(x)], [voc.contexts(x)]) for x in voc.places_of(words)]))
+    assert times.sum() == 50 * 241 and len(kinds) < 100
+    many = cm.Vocabulary([b"\n", *(b"w%d" % i for i in range(5000))], np.arange(5001, 0, -1), 10**8)
+    of, _, _, place, *_ = many.events([np.array([4000])], [np.array([4000])], 0, 1)
+    assert len(of) > 8 and len(set((place >> cm.CHECK + 4).tolist())) <= -(-len(of) // 4)
+
+
+def test_places_of_many_texts_are_those_of_each(monkeypatch):
+    """By Arrow for many words at once and by a dict for few, also where counted words' hashes clash."""
+    cm = context_mixing
+    voc = cm.Vocabulary([b"\n", *(b"w%d" % i for i in range(400))], np.arange(401, 0, -1), 10**6, 50)
+    texts = [[b"w%d" % (i * j % 500) for i in range(j)] for j in range(40)] + [[]]
+    for clash in (False, True):
+        if clash:
+            monkeypatch.setattr(cm, "word_hashes", lambda w: np.fromiter((len(x) % 2 for x in w), np.uint64, len(w)))
+            voc.tables = None
+        for coded in (False, True):
+            want = [[i if i <= 400 and (i < 50 or not coded) else -1 for i in (int(w[1:]) + 1 for w in t)] + [0] for t in texts]
+            assert [x.tolist() for x in voc.places_of(texts, coded)] == want
+            assert [voc.places(t, coded).tolist() for t in texts] == want
